@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.operators import claims as C
 from quire.operators import layout as L
 from quire.operators.scan import position_in_unit
+from quire.session import materialize
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -59,9 +60,9 @@ def damaged_blocks(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def parsed_blocks(spark: SparkSession, directory: str) -> DataFrame:
-    """Blocks with type, exclusion flag, markers, order, section and external id."""
+    """Blocks with type, exclusion flag, markers, order, section and external id, as a table."""
     typed = L.flag_claim_exclusion(L.map_block_type(layout_blocks(spark, directory)))
-    return L.block_external_ids(L.order_and_assign(L.extract_citations(typed)))
+    return materialize(L.block_external_ids(L.order_and_assign(L.extract_citations(typed))))
 
 
 def candidates(spark: SparkSession, directory: str) -> DataFrame:

@@ -8,31 +8,31 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; pick one only for local sessions."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate data; a new one only for local sessions."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and continue from the written copy.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new sub-folder there, removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/tables-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
-    Later branches read the copy, so work upstream is not repeated and a lost executor
-    costs a re-read, not a re-run of the whole lineage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and continue from the written copy.
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints for tables that are written and read back."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid4().hex}"
+    Branches that follow read only the columns they need from it and repeat no work upstream,
+    the planner knows its size, and a lost executor costs a re-read instead of a re-run.
+    """
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
