@@ -387,4 +387,7 @@ def query(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in wanted]
-    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
+    if not parts:
+        return body
+    rest = re.sub(r"^\s*WITH\s", ", ", body)
+    return f"WITH RECURSIVE {', '.join(parts)} {rest}"

@@ -221,7 +221,7 @@ def members(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "customer").select(
         F.col("c_custkey").alias("group_id"),
         F.col("c_custkey").alias("project_id"),
-        F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint").alias("user_id"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("user_id"),
     )
 
 

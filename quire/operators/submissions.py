@@ -183,7 +183,7 @@ def ready_submissions(
     """Submissions with both artifacts, the latest of each; one aggregate and one join."""
 
     def newest(kind: str) -> Column:
-        one = F.struct("version_no", "sha256", "object_uri", "byte_size")
+        one = F.struct("version_no", "sha256", "artifact_id", "object_uri", "byte_size")
         return F.max(F.when(F.col("kind") == kind, one))
 
     pairs = artifacts.groupBy("submission_id").agg(
@@ -269,7 +269,7 @@ def verify_artifact(
     """
     limits = max_bytes or MAX_UPLOAD_BYTES
     limit = F.when(F.col("kind") == REPORT, limits[REPORT]).otherwise(limits[SOURCE])
-    head = F.regexp_replace(F.decode("head", F.lit("ISO-8859-1")), r"^[\t\n\r\x0B\x0C ]+", "")
+    head = F.regexp_replace(F.decode(F.col("head"), "ISO-8859-1"), r"^[\t\n\r\x0B\x0C ]+", "")
     fault = first_failure(
         (
             (F.col("byte_size") <= 0) | (F.col("byte_size") > limit),

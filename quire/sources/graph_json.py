@@ -21,17 +21,14 @@ FAILURE_FLAGS = ("errors", "error", "failed_sources", "worker_warnings")
 MAX_GRAPH_BYTES = 32 * 1024 * 1024
 
 
-def _truthy(document: Column, field: str) -> Column:
-    """Whether a field holds something: a non-empty list, object or text, a non-zero number."""
-    found = F.try_variant_get(F.try_parse_json(document), f"$.{field}", "variant")
+def _truthy(found: Column) -> Column:
+    """Whether a variant holds something: a non-empty list, object or text, a non-zero number."""
     kind = F.coalesce(F.schema_of_variant(found), F.lit("VOID"))
-    shown = F.get_json_object(document, f"$.{field}")
+    shown = F.to_json(found)
     return (
         F.when(kind == "VOID", False)
-        .when(kind == "STRING", shown != "")
         .when(kind == "BOOLEAN", shown == "true")
-        .when(kind.startswith("ARRAY"), ~shown.rlike(r"^\s*\[\s*\]\s*$"))
-        .when(kind.startswith("OBJECT"), ~shown.rlike(r"^\s*\{\s*\}\s*$"))
+        .when(kind.rlike("^(STRING|ARRAY|OBJECT)"), ~shown.isin('""', "[]", "{}"))
         .otherwise(F.coalesce(shown.try_cast("double") != 0, F.lit(True)))
     )
 
@@ -39,26 +36,32 @@ def _truthy(document: Column, field: str) -> Column:
 def read_code_graph(
     documents: DataFrame, max_bytes: int = MAX_GRAPH_BYTES
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(raw_nodes, raw_edges, graphs, rejects)`` of ``(graph_id, json)`` documents."""
-    json = F.col("json")
-    nodes_text = F.get_json_object(json, "$.nodes")
-    edges_text = F.get_json_object(json, "$.edges")
-    message = (
-        F.when(F.octet_length(json) > max_bytes, "output exceeds quota")
-        .when(F.try_parse_json(json).isNull(), "not JSON")
-        .when(nodes_text.isNull() | edges_text.isNull(), "nodes or edges missing")
+    """``(raw_nodes, raw_edges, graphs, rejects)`` of ``(graph_id, json)`` documents.
+
+    Each output parses a document once, and only the fields it needs.
+    """
+    flags = ", ".join(f"{field} VARIANT" for field in FAILURE_FLAGS)
+    shape = f"nodes {NODE_ARRAY}, edges {EDGE_ARRAY}, {flags}"
+    size = F.octet_length("json")
+    parsed = documents.select(
+        "graph_id",
+        size.alias("_size"),
+        F.from_json(F.when(size <= max_bytes, F.col("json")), shape).alias("g"),
+    )
+    message = F.when(F.col("_size") > max_bytes, "output exceeds quota").when(
+        F.col("g.nodes").isNull() | F.col("g.edges").isNull(), "no lists of nodes and edges"
     )
-    judged = documents.withColumn("_message", message)
+    judged = parsed.withColumn("_message", message)
     rejects = reject_rows(
         judged.filter(F.col("_message").isNotNull()),
         "graph_id",
         Code.PARSER_ERROR,
         F.col("_message"),
-        F.octet_length("json"),
+        F.col("_size"),
     )
     sound = judged.filter(F.col("_message").isNull())
     nodes = sound.select(
-        "graph_id", F.explode(F.from_json(nodes_text, NODE_ARRAY)).alias("n")
+        "graph_id", F.explode("g.nodes").alias("n")
     ).select(
         "graph_id",
         "n.id",
@@ -74,11 +77,11 @@ def read_code_graph(
         F.coalesce("n._callable", F.lit(False)).alias("callable"),
     )
     edges = sound.select(
-        "graph_id", F.explode(F.from_json(edges_text, EDGE_ARRAY)).alias("e")
+        "graph_id", F.explode("g.edges").alias("e")
     ).select("graph_id", "e.*")
     failed = F.lit(False)
     for field in FAILURE_FLAGS:
-        failed = failed | _truthy(json, field)
+        failed = failed | _truthy(F.col(f"g.{field}"))
     graphs = sound.select("graph_id", failed.alias("parse_failed"))
     return nodes, edges, graphs, rejects
 
