@@ -194,10 +194,10 @@ CTES = {
                     ELSE 'completed' END AS status,
                o_orderdate AS received_at
         FROM orders""",
-    "stored": "SELECT * FROM submissions WHERE received_at < TIMESTAMP '1995-01-01'",
+    "stored": "SELECT * FROM submissions WHERE received_at < TIMESTAMP '1998-05-01'",
     "requests": """
         SELECT submission_id AS request_id, * EXCLUDE (submission_id) FROM submissions
-        WHERE received_at >= TIMESTAMP '1995-01-01'""",
+        WHERE received_at >= TIMESTAMP '1998-05-01'""",
     "projects": """
         SELECT c_custkey AS project_id,
                CASE c_mktsegment WHEN 'FURNITURE' THEN 'closed' WHEN 'AUTOMOBILE' THEN 'draft'

@@ -191,9 +191,9 @@ def submissions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def requests_and_stored(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Submissions received before 1995 as stored, the later ones as requests."""
+    """Submissions received before May 1998 as stored, the later ones as requests."""
     every = submissions(spark, directory)
-    stored = F.col("received_at") < F.lit("1995-01-01").cast("timestamp")
+    stored = F.col("received_at") < F.lit("1998-05-01").cast("timestamp")
     return every.filter(~stored).withColumnRenamed("submission_id", "request_id"), every.filter(
         stored
     )
@@ -350,18 +350,20 @@ def source_files(spark: SparkSession, directory: str) -> DataFrame:
 FILE_LIMIT = 20_000
 
 
-def intake_requests(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "events").select(
+def intake_rows(events: DataFrame) -> DataFrame:
+    """Requests with a key that repeats per user, or none; of the events table or its stream."""
+    return events.select(
         F.col("event_id").alias("request_id"),
-        F.col("ts").alias("received_at"),
+        F.col("ts").cast("timestamp").alias("received_at"),
         F.expr(
             "IF(event_id % 3 = 0, NULL, concat('k', user_id, '-', event_id % 40))"
         ).alias("idempotency_key"),
     )
 
 
-def arrivals(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "events").select(
+def arrival_rows(events: DataFrame) -> DataFrame:
+    """Artifacts as they arrive; of the events table or its stream."""
+    return events.select(
         F.col("user_id").alias("submission_id"),
         F.expr(
             "IF(event_type IN ('click', 'view'), 'report_pdf', 'source_archive')"

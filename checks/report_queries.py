@@ -52,7 +52,7 @@ def section_outline(spark, d):
     )
 
 
-def _ocr_texts(spark, d) -> DataFrame:
+def ocr_texts(spark, d) -> DataFrame:
     """The layout blocks of each document written out as one OCR result text.
 
     Every page is one line; a page holds eight blocks and a document is one text cell.
@@ -83,7 +83,7 @@ def _ocr_texts(spark, d) -> DataFrame:
            x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1
     FROM layout_blocks""")
 def read_layout_blocks(spark, d):
-    blocks = blocks_of(pages_of(_ocr_texts(spark, d)))
+    blocks = blocks_of(pages_of(ocr_texts(spark, d)))
     return blocks.select(
         "artifact_id",
         "page_no",

@@ -326,16 +326,22 @@ def audit_append_only(spark, d):
            coalesce(t.created_at, TIMESTAMP '2025-01-01') AS created_at,
            CASE WHEN u.id IS NOT NULL THEN TIMESTAMP '2025-01-01' ELSE t.created_at END
              AS updated_at
-    FROM (SELECT id, status, started_at AS created_at FROM runs WHERE status = 'failed') t
-    FULL JOIN (SELECT id, 'retried' AS status FROM runs WHERE submission_id % 3 = 0) u
+    FROM (SELECT id, status, started_at AS created_at FROM runs
+          WHERE started_at < TIMESTAMP '2024-01-20') t
+    FULL JOIN (SELECT id, 'retried' AS status FROM runs
+               WHERE status = 'failed' OR started_at >= TIMESTAMP '2024-01-20') u
       ON u.id = t.id""")
 def touch_updated_at(spark, d):
+    """Runs up to a day, updated by the later ones and by every failed one."""
     runs = I.runs(spark, d)
-    target = runs.filter("status = 'failed'").select(
+    later = F.col("started_at") >= F.lit("2024-01-20").cast("timestamp")
+    target = runs.filter(~later).select(
         "id", "status", F.col("started_at").alias("created_at"),
         F.col("started_at").alias("updated_at"),
     )
-    updates = runs.filter("submission_id % 3 = 0").select("id", F.lit("retried").alias("status"))
+    updates = runs.filter(later | (F.col("status") == "failed")).select(
+        "id", F.lit("retried").alias("status")
+    )
     now = F.lit("2025-01-01").cast("timestamp")
     return Q.touch_updated_at(target, updates, ["id"], now)
 
@@ -355,13 +361,13 @@ RUNS = f"""
 
 @register(f"""
     SELECT submission_id::VARCHAR AS submission_id, input_fingerprint,
-           CASE WHEN submission_id % 6 = 0 OR submission_id % 4 <> 1 THEN 'succeeded'
+           CASE WHEN submission_id % 7 = 0 OR submission_id % 4 <> 1 THEN 'succeeded'
                 ELSE 'failed' END AS status,
-           CASE WHEN submission_id % 6 = 0 THEN 'earlier'
+           CASE WHEN submission_id % 7 = 0 THEN 'earlier'
                 WHEN submission_id % 4 <> 1 THEN 'now' END AS output_fingerprint
     FROM ({RUNS})""")
 def record_runs(spark, d):
-    """Every sixth submission ran before; of the others every fourth fails now."""
+    """The submissions of user 0 ran before; of the others every fourth fails now."""
     uploaded, _ = S.lifecycle_gate(I.submissions(spark, d))
     ready, _ = S.ready_submissions(uploaded, I.artifacts(spark, d))
     ready = materialize(R.with_input_fingerprint(ready))
@@ -375,7 +381,7 @@ def record_runs(spark, d):
         F.when(failing, "broken").alias("error_message"),
     )
     empty = spark.createDataFrame([], schema_of("pipeline_runs"))
-    ran = ready.filter("submission_id % 6 = 0")
+    ran = ready.filter("submitted_by_user_id = 0")
     done = ran.select(
         "submission_id",
         F.lit("earlier").alias("output_fingerprint"),
