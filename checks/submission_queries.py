@@ -40,7 +40,7 @@ def read_table(spark, d):
 @register()
 def ingest_binary(spark, d):
     """The given table files themselves, measured and screened as report uploads."""
-    measured = ingest(spark, d, S.REPORT, F.lit("application/pdf"))
+    measured = ingest(spark, d, S.REPORT, media_type="application/pdf")
     return measured.select("name", "byte_size", "sha256", "code")
 
 

@@ -27,8 +27,11 @@ def heading_level(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Case folding for comparing names; ``Straße`` and ``STRASSE`` meet."""
-    return F.lower(F.upper(text))
+    """Case folding for comparing names; ``Straße``, ``STRASSE`` and ``STRAẞE`` meet.
+
+    The replacement also keeps the optimizer from reducing lower(upper(x)) to lower(x).
+    """
+    return F.lower(F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS")))
 
 
 def line_count(text: Column) -> Column:
