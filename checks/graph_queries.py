@@ -31,7 +31,7 @@ def _score(column="confidence"):
 def _graph_texts(spark, d):
     """A graph document per line item: a part, the part it calls, and the call."""
     node = "named_struct('id', CAST({0} AS STRING), 'label', concat('p', {0}), 'source_file', {1})"
-    return I.table(spark, d, "lineitem").selectExpr(
+    return I.spread(I.table(spark, d, "lineitem")).selectExpr(
         "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS graph_id",
         "to_json(named_struct("
         f"'nodes', array({node.format('l_partkey', repr('/source/a.py'))},"
@@ -276,7 +276,7 @@ def canonical_node_order(spark, d):
              ORDER BY source, relation, target, id) AS position
     FROM unique_edges""")
 def canonical_edge_order(spark, d):
-    edges = G.dedupe_edges(_edges(spark, d, _nodes(spark, d)))[0]
+    edges = materialize(G.dedupe_edges(_edges(spark, d, _nodes(spark, d)))[0])
     return G.canonical_edge_order(edges).select("graph_id", "id", "position")
 
 

@@ -18,9 +18,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound work enough partitions when a table has only a few row groups.
+
+    Larger tables are scanned in more partitions than there are cores and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def layout_blocks(spark: SparkSession, directory: str) -> DataFrame:
     """One block per line of each document, with headings and citations added by formula."""
-    lines = table(spark, directory, "documents").select(
+    lines = spread(table(spark, directory, "documents")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")
     )
     return lines.withColumn("k", F.expr("(doc_id * 7 + i * 3) % 16")).select(
@@ -138,7 +147,7 @@ def claim_responses(claims: DataFrame, cut_short: bool) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, directory: str) -> DataFrame:
-    items = table(spark, directory, "lineitem").select(
+    items = spread(table(spark, directory, "lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias(
             "artifact_id"
         ),
@@ -251,7 +260,7 @@ def raw_edges(spark: SparkSession, directory: str) -> DataFrame:
     """Calls between parts. Evidence follows from an edge's identity, except in every tenth
     graph, where equal identities may disagree."""
     parts = table(spark, directory, "part").select("p_partkey", "p_brand")
-    items = table(spark, directory, "lineitem").join(
+    items = spread(table(spark, directory, "lineitem")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
     )
     return items.select(
@@ -292,7 +301,7 @@ def inventory(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, directory: str) -> DataFrame:
-    items = table(spark, directory, "lineitem").select(
+    items = spread(table(spark, directory, "lineitem")).select(
         F.col("l_orderkey").alias("archive_id"),
         "l_linenumber",
         "l_partkey",
@@ -340,7 +349,7 @@ def source_files(spark: SparkSession, directory: str) -> DataFrame:
     content = F.when(
         F.expr("doc_id % 10 = 4"), F.concat(F.lit("#!/usr/bin/env python\n"), "text")
     ).otherwise(F.col("text"))
-    return table(spark, directory, "documents").select(
+    return spread(table(spark, directory, "documents")).select(
         F.col("source").alias("archive_id"),
         F.concat(F.lit("p"), F.col("doc_id"), F.lit("/"), name).alias("path"),
         content.cast("binary").alias("content"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.ctes import query
+from quire.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ def register(sql: str | None = None):
 
     def add(function: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, directory: str) -> DataFrame:
-            return flat(function(spark, directory))
+            return flat(function(tune(spark), directory))
 
         QUERIES[function.__name__] = run
         if sql:

@@ -19,6 +19,7 @@ MAX_RESPONSE_BYTES = 32 * 1024 * 1024
 
 FOLD_BLOCKS = 4096
 
+RESPONSE = "choices ARRAY<STRUCT<finish_reason: STRING, message: STRUCT<content: STRING>>>"
 CLAIM_ARRAY = (
     "ARRAY<STRUCT<claim_type: STRING, text_content: STRING, source_block_external_id: STRING, "
     "context_block_external_ids: ARRAY<STRING>, citation_markers: ARRAY<STRING>, "
@@ -39,31 +40,25 @@ def group_section_text(candidates: DataFrame, pages: int = PAGES_PER_SEGMENT) ->
 
     One row per block, ordered by columns; a section is not gathered into an array.
     """
+    keyed = candidates.withColumn("_section", F.coalesce("section_ordinal", F.lit(-1)))
     groups = (
-        candidates.groupBy("artifact_id", "section_ordinal")
+        keyed.groupBy("artifact_id", "_section")
         .agg(F.min(F.struct("page_no", "reading_order")).alias("_first"))
         .withColumn(SEGMENT, F.floor(F.col("_first.page_no") / pages).cast("int"))
     )
     ranked = segmented_scan(
         groups, ["artifact_id"], ["_first"], [Running("_rank", F.lit(1))]
-    ).select(
-        F.col("artifact_id").alias("_artifact"),
-        F.col("section_ordinal").alias("_section"),
-        (F.col("_rank") - 1).cast("int").alias("group_rank"),
-    )
+    ).select("artifact_id", "_section", (F.col("_rank") - 1).cast("int").alias("group_rank"))
     placed = segmented_scan(
-        page_segments(candidates, pages),
-        ["artifact_id", "section_ordinal"],
+        page_segments(keyed, pages),
+        ["artifact_id", "_section"],
         ["page_no", "reading_order"],
         [Running("_position", F.lit(1))],
     )
-    same = (F.col("artifact_id") == F.col("_artifact")) & F.col("section_ordinal").eqNullSafe(
-        F.col("_section")
-    )
     return (
-        placed.join(ranked, same)
+        placed.join(ranked, ["artifact_id", "_section"])
         .withColumn("position", (F.col("_position") - 1).cast("int"))
-        .drop("_artifact", "_section", "_position", SEGMENT)
+        .drop("_section", "_position", SEGMENT)
     )
 
 
@@ -241,23 +236,32 @@ def parse_claim_responses(
 
     ``responses`` has ``(artifact_id, group_rank, batch_no, response)``. A response that did not
     stop normally, holds no JSON list of claims or points outside its batch voids the artifact.
+    Responses are parsed once into a table.
     """
-    finish = F.get_json_object("response", "$.choices[0].finish_reason")
-    content = F.get_json_object("response", "$.choices[0].message.content")
-    listed = F.try_parse_json(F.get_json_object(content, "$.claims"))
-    is_list = F.coalesce(F.schema_of_variant(listed).startswith("ARRAY<"), F.lit(False))
+    batch = ["artifact_id", "group_rank", "batch_no"]
+    size = F.octet_length("response")
+    answer = F.from_json(F.when(size <= max_bytes, F.col("response")), RESPONSE)
+    unpacked = responses.select(*batch, size.alias("size"), answer.alias("answer")).select(
+        *batch, "size", F.get("answer.choices", F.lit(0)).alias("choice")
+    )
+    said = F.from_json("choice.message.content", f"claims {CLAIM_ARRAY}")
     fault = first_failure(
-        (F.octet_length("response") > max_bytes, "response exceeds quota"),
-        (~F.coalesce(finish == "stop", F.lit(False)), "incomplete output"),
-        (F.try_parse_json(content).isNull(), "content is not JSON"),
-        (~is_list, "expected claims array"),
+        (F.col("size") > max_bytes, "response exceeds quota"),
+        (
+            ~F.coalesce(F.col("choice.finish_reason") == "stop", F.lit(False)),
+            "incomplete output",
+        ),
+        (
+            F.col("said.claims").isNull()
+            & F.try_parse_json("choice.message.content").isNull(),
+            "content is not JSON",
+        ),
+        (F.col("said.claims").isNull(), "expected claims array"),
     )
-    read = responses.select(
-        "artifact_id",
-        "group_rank",
-        "batch_no",
-        fault.alias("fault"),
-        F.from_json(F.get_json_object(content, "$.claims"), CLAIM_ARRAY).alias("claims"),
+    read = materialize(
+        unpacked.withColumn("said", said).select(
+            *batch, fault.alias("fault"), F.col("said.claims").alias("claims")
+        )
     )
     broken = read.filter(F.col("fault").isNotNull()).select(
         "artifact_id", "group_rank", "batch_no", "fault"
@@ -273,7 +277,6 @@ def parse_claim_responses(
             F.coalesce("context_block_external_ids", F.array().cast("array<string>")),
         )
     )
-    batch = ["artifact_id", "group_rank", "batch_no"]
     references = parsed.select(*batch, F.explode(named).alias("external_id")).distinct()
     outside = references.join(
         batched.select(*batch, "external_id"), [*batch, "external_id"], "left_anti"

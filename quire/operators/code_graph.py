@@ -30,6 +30,11 @@ WARN_ENDPOINT = "unresolved_edge_endpoint"
 ID_DIGITS_PER_SEGMENT = 3
 
 
+def _line(digits: Column) -> Column:
+    """A line number; one too large for an INT is past the end of any file."""
+    return F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1))
+
+
 def normalize_graph_element(elements: DataFrame, rule: Column) -> DataFrame:
     """Location, provenance, confidence, reason and rule of raw nodes or edges."""
     path = F.regexp_replace(F.coalesce("source_file", F.lit("")), r"^/source/", "")
@@ -37,12 +42,13 @@ def normalize_graph_element(elements: DataFrame, rule: Column) -> DataFrame:
     pattern = rf"\AL({text.DIGIT}+)(?:[-–]L?({text.DIGIT}+))?\z"
     start = F.regexp_extract(at, pattern, 1)
     end = F.regexp_extract(at, pattern, 2)
+    last = F.when(end != "", end).otherwise(start)
     location = F.when(
         (path != "") & (start != ""),
         F.struct(
             path.alias("path"),
-            start.cast("int").alias("start_line"),
-            F.when(end != "", end).otherwise(start).cast("int").alias("end_line"),
+            _line(start).alias("start_line"),
+            _line(last).alias("end_line"),
         ),
     )
     tag = F.coalesce("confidence", F.lit("EXTRACTED"))

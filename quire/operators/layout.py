@@ -300,19 +300,20 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 def order_and_assign(blocks: DataFrame, pages: int = PAGES_PER_SEGMENT) -> DataFrame:
     """``reading_order`` and ``section_ordinal`` together, over one shuffle of the blocks.
 
-    Both windows are partitioned by runs of pages of a document, so one exchange and one sort
-    serve both.
+    The scan over runs of pages comes first; its partitioning and sort order also serve the
+    window over single pages.
     """
-    cut = page_segments(blocks, pages).repartition("artifact_id", SEGMENT)
-    page = Window.partitionBy("artifact_id", SEGMENT, "page_no").orderBy("ordinal")
-    slots = F.sum(F.col("n_matches") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1))
-    ordered = cut.withColumn("reading_order", F.coalesce(slots, F.lit(0)).cast("int"))
-    opened = F.col("label").isin(*HEADING_LABELS).cast("int")
+    opened = Running("_opened", F.col("label").isin(*HEADING_LABELS).cast("int"))
     counted = segmented_scan(
-        ordered, ["artifact_id"], ["page_no", "ordinal"], [Running("_opened", opened)]
+        page_segments(blocks, pages), ["artifact_id"], ["page_no", "ordinal"], [opened]
     )
-    return counted.withColumn(
-        "section_ordinal", F.when(F.col("_opened") > 0, (F.col("_opened") - 1).cast("int"))
+    page = Window.partitionBy("artifact_id", SEGMENT, "page_no").orderBy("ordinal")
+    slots = F.sum(F.col("n_matches") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    return counted.withColumns(
+        {
+            "reading_order": F.coalesce(slots, F.lit(0)).cast("int"),
+            "section_ordinal": F.when(F.col("_opened") > 0, (F.col("_opened") - 1).cast("int")),
+        }
     ).drop("_opened", SEGMENT)
 
 

@@ -50,7 +50,9 @@ def segmented_scan(
 ) -> DataFrame:
     """Add the running aggregates over each unit, in ``order``.
 
-    ``segment`` names a column that never decreases along ``order``. With ``reverse`` the
+    Unit columns hold no nulls: the join of the carried totals is on plain equality, so it
+    reuses the partitioning of the scan and the rows are shuffled once. ``segment`` names a
+    column that never decreases along ``order``. With ``reverse`` the
     caller passes a descending ``order`` and the segments are taken from last to first.
     """
     keys = [*unit, segment]
@@ -72,7 +74,7 @@ def segmented_scan(
     across = Window.partitionBy(*unit).orderBy(along)
     carried = (
         totals.select(
-            *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+            *keys,
             F.row_number().over(across).alias("_rank"),
             *(
                 _AGGREGATES[r.how](f"_total_{r.name}")
@@ -84,8 +86,7 @@ def segmented_scan(
         .filter("_rank > 1")
         .drop("_rank")
     )
-    matched = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return local.join(carried, matched, "left").select(
+    return local.join(carried, keys, "left").select(
         *df.columns,
         *(
             _combine(r.how, F.col(f"_local_{r.name}"), F.col(f"_carry_{r.name}")).alias(r.name)
@@ -101,7 +102,8 @@ def range_segments(
 
     Rows are range-partitioned on (unit, order), which spreads a hot unit over many partitions,
     and the partition number becomes the segment. The result is materialised so that every
-    later branch sees the same boundaries. Pass slim rows: keys, flags and lengths.
+    later branch sees the same boundaries. Pass slim rows (keys, flags and lengths) of a
+    written table: finding the boundaries reads the rows once more.
     """
     count = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(count, *unit, *order)

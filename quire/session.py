@@ -8,6 +8,17 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Let the adaptive planner split hot join keys even where that costs a further shuffle.
+
+    Runtime settings only; sizes of partitions and executors stay the cluster's business.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate data; a new one only for local sessions."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

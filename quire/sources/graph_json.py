@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.rejects import Code, reject_rows
+from quire.session import materialize
 
 # Document shape, failure flags, quota.
 NODE_ARRAY = (
@@ -38,30 +39,30 @@ def read_code_graph(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(raw_nodes, raw_edges, graphs, rejects)`` of ``(graph_id, json)`` documents.
 
-    Each output parses a document once, and only the fields it needs.
+    Documents are parsed once into a table; the outputs read the columns they need from it.
     """
     flags = ", ".join(f"{field} VARIANT" for field in FAILURE_FLAGS)
     shape = f"nodes {NODE_ARRAY}, edges {EDGE_ARRAY}, {flags}"
     size = F.octet_length("json")
-    parsed = documents.select(
-        "graph_id",
-        size.alias("_size"),
-        F.from_json(F.when(size <= max_bytes, F.col("json")), shape).alias("g"),
+    failed = F.lit(False)
+    for field in FAILURE_FLAGS:
+        failed = failed | _truthy(F.col(f"g.{field}"))
+    parsed = materialize(
+        documents.select(
+            "graph_id",
+            size.alias("_size"),
+            F.from_json(F.when(size <= max_bytes, F.col("json")), shape).alias("g"),
+        ).select("graph_id", "_size", "g.nodes", "g.edges", failed.alias("parse_failed"))
     )
     message = F.when(F.col("_size") > max_bytes, "output exceeds quota").when(
-        F.col("g.nodes").isNull() | F.col("g.edges").isNull(), "no lists of nodes and edges"
+        F.col("nodes").isNull() | F.col("edges").isNull(), "no lists of nodes and edges"
     )
-    judged = parsed.withColumn("_message", message)
     rejects = reject_rows(
-        judged.filter(F.col("_message").isNotNull()),
-        "graph_id",
-        Code.PARSER_ERROR,
-        F.col("_message"),
-        F.col("_size"),
+        parsed.filter(message.isNotNull()), "graph_id", Code.PARSER_ERROR, message, F.col("_size")
     )
-    sound = judged.filter(F.col("_message").isNull())
+    sound = parsed.filter(message.isNull())
     nodes = sound.select(
-        "graph_id", F.explode("g.nodes").alias("n")
+        "graph_id", F.explode("nodes").alias("n")
     ).select(
         "graph_id",
         "n.id",
@@ -77,12 +78,9 @@ def read_code_graph(
         F.coalesce("n._callable", F.lit(False)).alias("callable"),
     )
     edges = sound.select(
-        "graph_id", F.explode("g.edges").alias("e")
+        "graph_id", F.explode("edges").alias("e")
     ).select("graph_id", "e.*")
-    failed = F.lit(False)
-    for field in FAILURE_FLAGS:
-        failed = failed | _truthy(F.col(f"g.{field}"))
-    graphs = sound.select("graph_id", failed.alias("parse_failed"))
+    graphs = sound.select("graph_id", "parse_failed")
     return nodes, edges, graphs, rejects
 
 
