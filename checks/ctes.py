@@ -315,7 +315,8 @@ CTES = {
         FROM (SELECT l_orderkey AS archive_id, l_partkey, l_suppkey,
                      floor(l_extendedprice)::BIGINT AS file_size,
                      row_number() OVER (PARTITION BY l_orderkey
-                       ORDER BY l_linenumber, l_partkey, l_suppkey) AS entry_no
+                       ORDER BY l_linenumber, l_partkey, l_suppkey,
+                         floor(l_extendedprice)) AS entry_no
               FROM lineitem)""",
     "member_paths": r"""
         SELECT *, string_split(regexp_replace(replace(name, '\', '/'), '/+$', ''), '/') AS parts,

@@ -46,21 +46,23 @@ def _graph_texts(spark, d):
 @register("""
     SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS graph_id,
            l_partkey::VARCHAR AS source, l_suppkey::VARCHAR AS target, 'calls' AS relation,
-           printf('%.2f', l_discount) AS score, l_suppkey % 4 = 0 OR l_suppkey % 5 = 1
-             AS parse_failed
+           printf('%.2f', l_discount) AS score
     FROM lineitem""")
 def read_code_graph(spark, d):
-    _, edges, graphs, _ = read_graphs(_graph_texts(spark, d))
-    return edges.join(graphs, "graph_id").select(
-        "graph_id",
-        "source",
-        "target",
-        "relation",
-        _score("confidence_score").alias("score"),
-        "parse_failed",
+    edges = read_graphs(_graph_texts(spark, d))[1]
+    return edges.select(
+        "graph_id", "source", "target", "relation", _score("confidence_score").alias("score")
     )
 
 
+@register("""
+    SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS graph_id,
+           l_suppkey % 4 = 0 OR l_suppkey % 5 = 1 AS parse_failed
+    FROM lineitem""")
+def read_code_graph_flags(spark, d):
+    return read_graphs(_graph_texts(spark, d))[2]
+
+
 @register("""
     SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS graph_id,
            unnest([l_partkey::VARCHAR, l_suppkey::VARCHAR]) AS id,

@@ -309,7 +309,7 @@ def archive_members(spark: SparkSession, directory: str) -> DataFrame:
         F.floor("l_extendedprice").cast("bigint").alias("file_size"),
     )
     numbered = position_in_unit(
-        items, ["archive_id"], ["l_linenumber", "l_partkey", "l_suppkey"], "entry_no"
+        items, ["archive_id"], ["l_linenumber", "l_partkey", "l_suppkey", "file_size"], "entry_no"
     )
     plain = F.expr("concat('src/m', l_partkey % 50, '.py')")
     return numbered.select(

@@ -43,7 +43,7 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
     actual = in_order(tuple(row) for row in df.select(*columns).collect())
     expected = in_order(relation.select(*[f'"{c}"' for c in columns]).fetchall())
     assert actual == expected
-    assert actual
+    assert actual or name.endswith("rejects")  # some faults do not occur in the smallest tables
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
