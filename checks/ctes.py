@@ -165,7 +165,7 @@ CTES = {
         FROM claims_said""",
     "artifacts": """
         SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber
-                 AS artifact_id,
+                 || '-' || l_quantity::BIGINT AS artifact_id,
                l_orderkey AS submission_id,
                CASE WHEN l_suppkey % 2 = 0 THEN 'report_pdf' ELSE 'source_archive' END AS kind,
                l_linenumber::BIGINT AS version_no, l_quantity::BIGINT * 1000 AS byte_size,
@@ -174,8 +174,8 @@ CTES = {
                CASE WHEN l_suppkey % 2 = 0 THEN 'report_pdf' ELSE 'source_archive' END || '/' ||
                CASE WHEN l_partkey % 11 = 2 THEN '../' ELSE '' END || l_partkey ||
                CASE WHEN l_partkey % 11 = 1 THEN '?x=1' ELSE '' END AS object_uri,
-               sha256(l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber)
-                 AS sha256,
+               sha256(l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber
+                      || '-' || l_quantity::BIGINT) AS sha256,
                l_partkey
         FROM lineitem""",
     "measured": """

@@ -148,9 +148,10 @@ def claim_responses(claims: DataFrame, cut_short: bool) -> DataFrame:
 
 def artifacts(spark: SparkSession, directory: str) -> DataFrame:
     items = spread(table(spark, directory, "lineitem")).select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias(
-            "artifact_id"
-        ),
+        F.expr(
+            "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,"
+            " CAST(l_quantity AS BIGINT))"
+        ).alias("artifact_id"),
         F.col("l_orderkey").alias("submission_id"),
         F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'report_pdf' ELSE 'source_archive' END").alias(
             "kind"
