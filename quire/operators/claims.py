@@ -63,16 +63,20 @@ def group_section_text(candidates: DataFrame, pages: int = PAGES_PER_SEGMENT) ->
 
 
 def batch_section_text(
-    grouped: DataFrame, max_chars: int = MAX_BATCH_CHARS, fold_blocks: int = FOLD_BLOCKS
+    grouped: DataFrame,
+    max_chars: int = MAX_BATCH_CHARS,
+    fold_blocks: int = FOLD_BLOCKS,
+    length: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``batch_no`` of each block in its section: greedy packing up to ``max_chars`` characters.
 
     A single block over the limit voids the artifact. Sections that fit in one batch need no
     packing; longer ones are folded over their block lengths; sections of more than
     ``fold_blocks`` blocks follow next-batch pointers instead, in rounds of joins. Text is not
-    moved: only ids and lengths are, and the batch number joins back.
+    moved: only ids and lengths are, and the batch number joins back. ``length`` is the
+    character count, that of ``content`` unless given.
     """
-    length = F.char_length("content")
+    length = F.char_length("content") if length is None else length
     too_long = (
         grouped.filter(length > max_chars)
         .groupBy("artifact_id")

@@ -371,54 +371,54 @@ def union_blocks(blocks: DataFrame, citations: DataFrame) -> DataFrame:
     return blocks.unionByName(citations, allowMissingColumns=True)
 
 
-def resolve_block_references(
-    blocks: DataFrame, sections: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Replace external ids of section, parent block and caption block by table ids.
+# The references of a block, in the order they are checked.
+REFERENCES = {
+    "section_external_id": "unknown section",
+    "parent_external_id": "unknown parent block",
+    "caption_external_id": "unknown caption block",
+}
+
+
+def unknown_block_references(blocks: DataFrame, sections: DataFrame) -> DataFrame:
+    """Rejects of artifacts with a reference to a section or block that does not exist.
 
-    Table ids are hashes of natural keys, so only the *distinct* references have to be looked
-    up to find unknown ones; the blocks themselves are not joined three times.
+    Only the *distinct* references meet their target table.
     """
+    references = F.array(
+        *(
+            F.struct(
+                F.lit(rank).alias("rank"), F.col(column).alias("target"), F.lit(text).alias("message")
+            )
+            for rank, (column, text) in enumerate(REFERENCES.items())
+            if column in blocks.columns
+        )
+    )
+    wanted = (
+        blocks.select("artifact_id", F.explode(references).alias("ref"))
+        .select("artifact_id", "ref.*")
+        .filter(F.col("target").isNotNull())
+        .distinct()
+    )
     known_sections = sections.select("artifact_id", F.col("external_id").alias("target"))
     known_blocks = blocks.select("artifact_id", F.col("external_id").alias("target"))
-    wanted = blocks.select(
-        "artifact_id",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit(1).alias("rank"),
-                    F.lit("unknown section").alias("message"),
-                    F.col("section_external_id").alias("target"),
-                ),
-                F.struct(
-                    F.lit(2).alias("rank"),
-                    F.lit("unknown parent block").alias("message"),
-                    F.col("parent_external_id").alias("target"),
-                ),
-                F.struct(
-                    F.lit(3).alias("rank"),
-                    F.lit("unknown caption block").alias("message"),
-                    F.col("caption_external_id").alias("target"),
-                ),
-            )
-        ).alias("ref"),
-    ).select("artifact_id", "ref.*")
-    wanted = wanted.filter(F.col("target").isNotNull()).distinct()
+    key = ["artifact_id", "target"]
     lost = (
-        wanted.filter("rank = 1")
-        .join(known_sections, ["artifact_id", "target"], "left_anti")
-        .unionByName(
-            wanted.filter("rank > 1").join(known_blocks, ["artifact_id", "target"], "left_anti")
-        )
+        wanted.filter("rank = 0")
+        .join(known_sections, key, "left_anti")
+        .unionByName(wanted.filter("rank > 0").join(known_blocks, key, "left_anti"))
     )
     first = lost.groupBy("artifact_id").agg(
         F.min(F.struct("rank", "target", "message")).alias("lost")
     )
-    rejects = reject_rows(
+    return reject_rows(
         first, "artifact_id", Code.INTERNAL_ERROR, F.col("lost.message"), F.col("lost.target")
     )
+
+
+def with_table_ids(blocks: DataFrame) -> DataFrame:
+    """Table ids of a block and of what it refers to: hashes of natural keys, no join."""
     unit = F.col("artifact_id")
-    resolved = drop_units(blocks, rejects, "artifact_id").withColumns(
+    return blocks.withColumns(
         {
             "id": ids.table_id(unit, F.col("external_id")),
             "section_id": ids.table_id(unit, F.col("section_external_id")),
@@ -426,4 +426,14 @@ def resolve_block_references(
             "caption_block_id": ids.table_id(unit, F.col("caption_external_id")),
         }
     )
-    return resolved, rejects
+
+
+def resolve_block_references(
+    blocks: DataFrame, sections: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Replace external ids of section, parent block and caption block by table ids.
+
+    A null reference stays null; an unknown one voids the artifact.
+    """
+    rejects = unknown_block_references(blocks, sections)
+    return with_table_ids(drop_units(blocks, rejects, "artifact_id")), rejects

@@ -43,12 +43,17 @@ def build_report_tables(layout_blocks: DataFrame) -> ReportTables:
     ).withColumn("parent_external_id", L.section_external_id(F.col("parent_ordinal")))
     with_paths, bad_trees = hierarchy.section_paths(named)
 
-    linked = captions.link_captions(blocks)
-    everything = L.union_blocks(linked, L.citation_positions(blocks)).withColumn(
+    linked = captions.link_captions(blocks, materialize(captions.caption_links(blocks)))
+    linked = linked.withColumn(
         "section_external_id", L.section_external_id(F.col("section_ordinal"))
     )
+    # citations are derived from blocks and refer to nothing their block does not
+    lost = L.unknown_block_references(linked, named)
     repeated = audit_duplicate_ids(blocks, "artifact_id", ["external_id"], "block id")
-    resolved, lost = L.resolve_block_references(everything, named)
+    citations = L.citation_positions(blocks).withColumn(
+        "section_external_id", L.section_external_id(F.col("section_ordinal"))
+    )
+    resolved = L.with_table_ids(L.union_blocks(linked, citations))
     rejects = materialize(union_rejects(bad_boxes, bad_trees, repeated, lost))
     return ReportTables(
         drop_units(with_paths, rejects, "artifact_id"),
