@@ -34,7 +34,9 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new sub-folder there, removed when the driver ends."""
     folder = f"{shared_folder(spark)}/tables-{uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return folder
 
 
@@ -44,6 +46,6 @@ def materialize(df: DataFrame) -> DataFrame:
     Branches that follow read only the columns they need from it and repeat no work upstream,
     the planner knows its size, and a lost executor costs a re-read instead of a re-run.
     """
-    folder = scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = f"{scratch_folder(df.sparkSession)}/rows"
+    df.write.parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)
