@@ -10,7 +10,9 @@ from quire.functions import ids
 from quire.operators import claims as C
 from quire.operators import layout as L
 from quire.plans import claims as plan
-from quire.session import materialize
+from quire.session import materialize, scratch_folder
+from quire.sources.sinks import claim_rows, write_bucketed
+from quire.sources.tables import read_table
 
 LIMIT = I.CLAIM_BATCH_CHARS
 
@@ -192,6 +194,37 @@ def resolve_claim_rejects(spark, d):
     return C.resolve_claim_references(_claims_of(batched, faulty=True), batched)[1]
 
 
+@register("""
+    SELECT artifact_id::VARCHAR AS submission_id,
+           sha256(artifact_id || '|' || external_id) AS source_block_id, claim_type,
+           claim_text AS text_content, false AS is_atomic, false AS is_central,
+           '{"citation_markers":' || to_json(markers)::VARCHAR || '}' AS qualifiers,
+           span_end::BIGINT AS span_end, 1::BIGINT AS impact, 0::BIGINT AS testability,
+           1::BIGINT AS risk, 'model-a:claims-1' AS extractor_version
+    FROM claims_with_ids""")
+def write_claim_table(spark, d):
+    """Claims written as their declared table with its defaults, and read back."""
+    batched = materialize(I.batched_candidates(spark, d, LIMIT))
+    resolved, _ = C.resolve_claim_references(_claims_of(batched, faulty=False), batched)
+    folder = scratch_folder(spark)
+    rows = claim_rows(resolved.withColumn("submission_id", F.col("artifact_id")))
+    write_bucketed(rows, folder, "claims", "submission_id", 8)
+    return read_table(spark, folder, "claims").select(
+        "submission_id",
+        "source_block_id",
+        "claim_type",
+        "text_content",
+        "is_atomic",
+        "is_central",
+        "qualifiers",
+        F.col("source_span.end").alias("span_end"),
+        "impact",
+        "testability",
+        "risk",
+        "extractor_version",
+    )
+
+
 @register("""
     SELECT artifact_id AS submission_id, count(*) AS n_claims FROM claims_said
     GROUP BY artifact_id""")

@@ -9,8 +9,10 @@ from checks.registry import register
 from quire.operators import archives as A
 from quire.operators import code_graph as G
 from quire.plans import code_graph as plan
-from quire.session import materialize
+from quire.session import materialize, scratch_folder
 from quire.sources.graph_json import read_code_graph as read_graphs
+from quire.sources.sinks import snapshot_rows
+from quire.sources.tables import read_table, write_table
 
 VERSION = "1.2.3"
 
@@ -300,6 +302,35 @@ def build_code_graph(spark, d):
     return _built(spark, d).documents.select("graph_id", "node_count", "edge_count", "status")
 
 
+@register(f"""
+    WITH bad AS (
+      SELECT graph_id FROM conflicted UNION
+      SELECT e.graph_id FROM ({ELEMENTS}) e JOIN inventory i
+        ON i.graph_id = e.graph_id AND i.path = e.path WHERE e.end_line > i.line_count)
+    SELECT graph_id::VARCHAR AS submission_id, 'a' || graph_id AS source_artifact_id,
+           sha256(graph_id::VARCHAR) AS source_sha256, '1.2.3' AS graphify_version,
+           (SELECT count(*) FROM nodes n WHERE n.graph_id = g.graph_id) AS node_count,
+           (SELECT count(*) FROM unique_edges n WHERE n.graph_id = g.graph_id) AS edge_count,
+           (SELECT count(*) FROM nodes n WHERE n.graph_id = g.graph_id
+              AND n.provenance = 'EXTRACTED') + (SELECT count(*) FROM unique_edges n
+              WHERE n.graph_id = g.graph_id AND n.provenance = 'EXTRACTED') AS extracted
+    FROM (SELECT DISTINCT graph_id FROM nodes) g WHERE graph_id NOT IN (FROM bad)""")
+def graph_snapshots(spark, d):
+    """Snapshot rows of the accepted graphs, written and read back as their declared table."""
+    documents = _built(spark, d).documents.withColumn("submission_id", F.col("graph_id"))
+    folder = scratch_folder(spark)
+    write_table(snapshot_rows(documents, VERSION), folder, "code_graph_snapshots")
+    return read_table(spark, folder, "code_graph_snapshots").select(
+        "submission_id",
+        "source_artifact_id",
+        "source_sha256",
+        "graphify_version",
+        "node_count",
+        "edge_count",
+        F.coalesce(F.col("provenance_summary")["EXTRACTED"], F.lit(0)).alias("extracted"),
+    )
+
+
 @register()
 def write_graph_document(spark, d):
     """Digest, size and warnings of each graph document; the digest has no SQL form."""

@@ -22,6 +22,8 @@ PDF_SIGNATURE = "%PDF-"
 STORAGE_SCHEME = "cloudinary"
 STORAGE_CLASS = "raw"
 
+DECLARED_SIZE = "declared size"
+
 REQUEST_FIELDS = (
     "project_id",
     "group_id",
@@ -273,7 +275,7 @@ def verify_artifact(
     fault = first_failure(
         (
             (F.col("byte_size") <= 0) | (F.col("byte_size") > limit),
-            Code.PAYLOAD_TOO_LARGE + "|declared size",
+            Code.PAYLOAD_TOO_LARGE + "|" + DECLARED_SIZE,
         ),
         (F.col("measured_size").isNull(), Code.STORAGE_ERROR + "|not measured"),
         (
