@@ -334,7 +334,7 @@ def audit_append_only(spark, d):
 def touch_updated_at(spark, d):
     """Runs up to a day, updated by the later ones and by every failed one."""
     runs = I.runs(spark, d)
-    later = F.col("started_at") >= F.lit("2024-01-20").cast("timestamp")
+    later = F.col("started_at") >= F.lit("2024-01-20").cast("timestamp_ntz")
     target = runs.filter(~later).select(
         "id", "status", F.col("started_at").alias("created_at"),
         F.col("started_at").alias("updated_at"),
@@ -342,7 +342,7 @@ def touch_updated_at(spark, d):
     updates = runs.filter(later | (F.col("status") == "failed")).select(
         "id", F.lit("retried").alias("status")
     )
-    now = F.lit("2025-01-01").cast("timestamp")
+    now = F.lit("2025-01-01").cast("timestamp_ntz")
     return Q.touch_updated_at(target, updates, ["id"], now)
 
 
