@@ -65,10 +65,11 @@ def stream_ready(spark, d):
 def stream_layer1(spark, d):
     """Layout files arriving in two lots, each lot processed as whole artifacts."""
     folder = scratch_folder(spark)
-    ocr_texts(spark, d).repartition(2).write.parquet(f"{folder}/arriving")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ocr_texts(spark, d).repartition(files).write.parquet(f"{folder}/arriving")
     arriving = (
         spark.readStream.schema("artifact_id BIGINT, value STRING")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", max(1, files // 2))
         .parquet(f"{folder}/arriving")
     )
     intake.stream_layer1(
