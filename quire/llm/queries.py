@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, simhash
+from quire.llm import chat, html_text, licenses, mixing, packing, pii, quality, rules, simhash, topk
 from quire.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@register(mixing.SQL)
+def op1_poisson_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    mixed = mixing.mix(docs, mixing.source_rates(docs))
+    return mixed.select("doc_id", "source", "lang", "n_chars", "text", F.col("copy").cast("bigint").alias("copy"), "mix_key")
+
+
+@register()
+def op2_contextual_pii(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.found_personal_data(documents(spark, directory))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @register()
 def op3_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     placed = packing.packed_documents(documents(spark, directory), vocabulary())
@@ -46,6 +64,53 @@ def op3_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@register()
+def op4_weak_label_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    return quality.scored(docs, quality.fit(docs)).select("doc_id", "quality_score", "kept")
+
+
+@register()
+def op5_rare_token_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scanned(documents(spark, directory)).drop("findings")
+
+
+@register()
+def op6_tag_ratio_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{directory}/pages.parquet"))
+
+
+@register()
+def op7_threshold_topk(spark: SparkSession, directory: str) -> DataFrame:
+    rows = spark.read.parquet(f"{directory}/embeddings.parquet").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.quantized(F.col("embedding")).alias("code"))
+    return topk.top_products(vectors, F.col("vec_id") % 20 == 0)
+
+
+@register()
+def op8_grammar_chat(spark: SparkSession, directory: str) -> DataFrame:
+    rows = spark.read.parquet(f"{directory}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], rows.schema)
+    return chat.read_back(chat.formatted_turns(rows.union(extra)))
+
+
+@register()
+def op9_divergence_rules(spark: SparkSession, directory: str) -> DataFrame:
+    return rules.judged(documents(spark, directory)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "class_distance",
+        "common_distance",
+    )
+
+
 @register()
 def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, directory))

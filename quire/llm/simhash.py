@@ -9,7 +9,7 @@ changes only the cost: probing and verification find every link whatever it is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows, prepare
+from quire.llm.common import lookup_join, map_rows, prepare
 from quire.llm.components import connected_components
 from quire.session import materialize
 
@@ -81,7 +81,7 @@ def _unpacked(fps: list[int] | np.ndarray) -> np.ndarray:
     return np.unpackbits(np.array(fps, np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _summed(values: DataFrame, of: callable, size: int) -> np.ndarray:
+def _summed(values: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """Sum over all fingerprints of a vector of ``size`` counts; each task sends one vector."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -212,10 +212,13 @@ def _hooked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = after
 
 
-def _links(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links within each run of equal ``bucket``; rows are sorted by bucket.
+def _links(
+    bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, tau: int, direct: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links within each run of equal ``bucket``; rows are sorted by bucket, fp.
 
     ``side`` is 0, or tells the two blocks of a pair of blocks apart (1, 2): only links across count.
+    ``direct`` gives each row's link to its first near row instead, a near pair itself.
     """
     n, found = len(fp), []
     at, step = np.arange(n), 1
@@ -229,14 +232,22 @@ def _links(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, tau: int) -> tu
     if not found:
         return fp[:0], fp[:0]
     a, b = (np.concatenate(x) for x in zip(*found))
-    root = _hooked(a, b, n)
+    if direct:
+        root = np.arange(n)
+        np.minimum.at(root, b, a)
+    else:
+        root = _hooked(a, b, n)
     hung = np.flatnonzero(root != np.arange(n))
     return fp[hung], fp[root[hung]]
 
 
-def near_links(values: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU) -> DataFrame:
+def near_links(
+    values: DataFrame, plan: list[tuple[list[int], int]], tau: int = TAU, direct: bool = False
+) -> DataFrame:
     """``a, b``: links whose components are those of all pairs within ``tau``.
 
+    With ``direct``, the near pairs of each fingerprint and, in each bucket, the first one near it.
+
     A bucket (equal partition and key) of more than ``BLOCK`` rows is dealt into blocks, and each
     pair of blocks is compared on its own. Each run of a bucket or pair emits at most one link a
     fingerprint, however many pairs are near.
@@ -267,7 +278,7 @@ def near_links(values: DataFrame, plan: list[tuple[list[int], int]], tau: int =
             key = np.array([x[:4] for x in part], np.int64).reshape(-1, 4)
             new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)] if len(part) else np.zeros(0, bool)
             fp = np.array([x[5] for x in part], np.int64).view(np.uint64)
-            a, b = _links(np.cumsum(new), np.array([x[4] for x in part], np.int64), fp, tau)
+            a, b = _links(np.cumsum(new), np.array([x[4] for x in part], np.int64), fp, tau, direct)
             return {"a": a.view(np.int64), "b": b.view(np.int64)}
 
         for batch in batches:
@@ -303,3 +314,92 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) ->
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(rooted.join(firsts, "root").select("fp", "component_id"))
     return found.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- whole documents ----------------------------------------------------------------------------
+
+#: Of the pipeline's stage: differing bits up to which texts are compared, words of a shingle and
+#: Jaccard similarity from which they are near duplicates.
+COMPARED_TAU = 7
+WORDS, SIMILAR = 5, 0.8
+
+
+def _shingles(text: str, words: int) -> set[bytes]:
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similarity(a: str, b: str, words: int = WORDS) -> float:
+    """Jaccard similarity of the sets of word shingles; two texts without a word are alike."""
+    x, y = _shingles(a, words), _shingles(b, words)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def deduplicated(
+    docs: DataFrame, tau: int = COMPARED_TAU, words: int = WORDS, similar: float = SIMILAR
+) -> DataFrame:
+    """``docs`` with one document, that of smallest id, of each group of near duplicates.
+
+    Equal texts are one node. Texts whose fingerprints are equal or near (``tau`` bits) are proposed to
+    be compared: each with the first of its fingerprint, each fingerprint's first text with the first
+    near one in every bucket. Pairs whose shingles are ``similar`` are linked, and each component of
+    links keeps one document. Every proposed pair is verified on whole texts, so chance never joins
+    two documents. A text without a word equals any other without one. Of rows that share the kept
+    id and text one stays; null ids come last. All columns of ``docs`` pass through. No rows give no rows.
+    """
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            found = np.array([fingerprint(t or "") for t in batch["text"]], np.uint64)
+            yield {"id": batch["id"], "digest": batch["digest"], "fp": found.view(np.int64)}
+
+    prepare(docs.sparkSession)
+    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0
+    digest = F.md5(F.when(blank, F.lit("")).otherwise(F.col("text"))).alias("_digest")
+    # Null ids get a number of their own for each text, above all others.
+    number = F.coalesce(
+        F.col("doc_id").cast("bigint"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(digest), 2)
+    ).alias("_id")
+    keyed = docs.select("*", digest).select("*", number)
+    read = keyed.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), "text")
+    marked = materialize(map_rows(read, rows, "id bigint, digest string, fp bigint"))
+    nodes = materialize(marked.groupBy("fp", "digest").agg(F.min("id").alias("node")))
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+
+    values = firsts.select("fp")
+    links = near_links(values, search_plan(values, tau), tau, direct=True)
+    near = (
+        links.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+        .join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        .select("x", "y")
+    )
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    pairs = materialize(near.union(same).distinct())
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    pick = materialize(nodes.join(wanted, nodes["node"] == wanted["id"], "left_semi").select(F.col("node").alias("id"), "digest"))
+    texts = materialize(lookup_join(read, pick, ["id", "digest"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(
+        texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y"
+    )
+
+    def verify(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            linked = [
+                (x, y)
+                for x, y, s, t in zip(batch["x"], batch["y"], batch["s"], batch["t"])
+                if similarity(s or "", t or "", words) >= similar
+            ]
+            yield {"a": [x for x, _ in linked], "b": [y for _, y in linked]}
+
+    roots = connected_components(map_rows(both.select("x", "y", "s", "t"), verify, "a bigint, b bigint"))
+    lost = roots.where("node <> root").select("node")
+    kept = nodes.join(lost, "node", "left_anti").select(F.col("node").alias("_id"), F.col("digest").alias("_digest"))
+    rows_of = marked.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).count()
+    key = ["_id", "_digest"]
+    gone = materialize(rows_of.join(kept, key, "left_anti").select(*key))
+    repeated = materialize(rows_of.where("count > 1").join(kept, key, "left_semi").select(*key))
+    left = lookup_join(keyed, gone, key, "left_anti")
+    once = lookup_join(left, repeated, key, "left_anti")
+    again = lookup_join(left, repeated, key, "left_semi").dropDuplicates(key)
+    return once.union(again).select(*docs.columns)
