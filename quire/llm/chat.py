@@ -174,3 +174,30 @@ class _Read:
 
     def row(self) -> tuple:
         return (self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
+
+
+_CONTROL = r"(?:/?INST\]|/?SYS\]|/?ROLE|/?s>)"
+#: For the roles of the table: a turn is escaped when it would not read back as it stands.
+SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+    SELECT *, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'system' THEN ' [/SYS]' ELSE '</s>' END AS last,
+        CASE role WHEN 'user' THEN 7 WHEN 'system' THEN 6 ELSE 0 END AS first_chars
+    FROM turns
+), written AS (
+    SELECT *, CASE WHEN strpos(text || last, last) <> length(text) + 1
+            OR regexp_matches(text, '[\[<]\\+{_CONTROL}')
+            OR (role = 'assistant' AND regexp_matches(text || last, '^(\[INST\] |\[SYS\] |\[ROLE )'))
+        THEN regexp_replace(text, '([\[<])(\\*{_CONTROL})', '\1\\\2', 'g') ELSE text END AS content
+    FROM marked
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(first_chars + length(content) + length(last))::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""

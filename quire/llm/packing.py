@@ -219,10 +219,11 @@ def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
 
     A sequence gathers at most ``limit`` ids.
     """
-    ids = pieces.select("doc_id", "piece", "ids")
-    parts = placed.join(ids, (placed["doc_id"].eqNullSafe(ids["doc_id"])) & (placed["piece"] == ids["piece"]))
+    ids = pieces.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), "ids")
+    places = placed.select("doc_id", "piece", "sequence_id", "offset")
+    parts = places.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece")))
     rows = parts.groupBy("sequence_id").agg(
-        F.sort_array(F.collect_list(F.struct(placed["offset"], ids["ids"]))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")
     )
     return map_rows(
         rows.select("sequence_id", F.col("parts.ids").alias("parts")),

@@ -109,8 +109,8 @@ def pattern_of(votes: tuple[int, ...]) -> int:
 def fit_labellers(counts: dict[int, int]) -> dict[int, float]:
     """Posterior of "good" for each vote pattern, by expectation-maximisation from a majority vote.
 
-    Labellers are taken as independent given the class; abstaining is an outcome like any other. Both
-    classes and all outcomes are smoothed. No documents give no posteriors.
+    Labellers are taken as independent given the class; abstaining says nothing. Both classes and both
+    votes are smoothed. No documents give no posteriors.
     """
     if not counts:
         return {}
@@ -125,8 +125,8 @@ def fit_labellers(counts: dict[int, int]) -> dict[int, float]:
         log = np.log([share, 1 - share])[:, None] + np.zeros((2, len(patterns)))
         for i in range(N_LABELLERS):
             for k, p in enumerate((posterior, 1 - posterior)):
-                outcome = np.bincount(votes[:, i], weights=weight * p, minlength=3) + 1
-                log[k] += np.log(outcome / outcome.sum())[votes[:, i]]
+                outcome = np.bincount(votes[:, i], weights=weight * p, minlength=3)[:ABSTAIN] + 1
+                log[k] += np.append(np.log(outcome / outcome.sum()), 0.0)[votes[:, i]]
         after = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         done = np.abs(after - posterior).max() < 1e-6
         posterior = after

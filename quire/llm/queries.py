@@ -80,14 +80,14 @@ def op6_tag_ratio_extraction(spark: SparkSession, directory: str) -> DataFrame:
     return html_text.extracted(spark.read.parquet(f"{directory}/pages.parquet"))
 
 
-@register()
+@register(topk.SQL)
 def op7_threshold_topk(spark: SparkSession, directory: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory}/embeddings.parquet").where(topk.usable(F.col("embedding")))
     vectors = rows.select("vec_id", topk.quantized(F.col("embedding")).alias("code"))
     return topk.top_products(vectors, F.col("vec_id") % 20 == 0)
 
 
-@register()
+@register(chat.SQL)
 def op8_grammar_chat(spark: SparkSession, directory: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory}/conversations.parquet").select("conv_id", "turn", "role", "text")
     same = "</s>[INST] ok [/INST]"

@@ -32,9 +32,11 @@ CLASSES = {
 }
 
 #: A text needs so many words, and so many characters, before its histograms are compared.
-LEAST_WORDS, LEAST_CHARS = 50, 200
-#: Jensen-Shannon distances (0 to 1) beyond which a text is rejected.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.45
+LEAST_WORDS, LEAST_CHARS = 80, 400
+#: Jensen-Shannon distances (0 to 1) of character classes and of common words beyond which a text is
+#: rejected, and those within which it counts for the next references.
+MOST_DISTANCE = (0.2, 0.4)
+TRIMS = ((0.25, 0.45), (0.16, 0.4))
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -175,24 +177,37 @@ def js_distance(a: Column, b: Column) -> Column:
     )
 
 
+def compared(rows: DataFrame, sound: DataFrame) -> DataFrame:
+    """``rows`` with class_distance and common_distance to the references of ``sound``."""
+    joined = lookup_join(rows, materialize(references(sound)), ["lang"])
+    enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS)
+    width = F.size("common")
+    common_ref = F.slice(F.col("common_ref"), F.lit(1), width)
+    return joined.select(
+        *rows.columns,
+        F.when(enough, js_distance(F.col("classes"), F.col("classes_ref"))).alias("class_distance"),
+        F.when(enough & (width > 1), js_distance(F.col("common"), common_ref)).alias("common_distance"),
+    )
+
+
+def _far(limits: tuple[float, float]) -> Column:
+    return (F.coalesce("class_distance", F.lit(0.0)) > limits[0]) | (
+        F.coalesce("common_distance", F.lit(0.0)) > limits[1]
+    )
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """Counts of ``measured`` with base_failed, class_distance, common_distance and kept.
 
-    Texts shorter than the guards are not compared, nor are texts of a language without any sound
-    document; their distances are null and only the base rules judge them. Repeated rows are judged
-    alike, each giving a row. No rows give no rows.
+    References are taken from all documents that pass the base rules, then again from those near the
+    first references, so that junk does not colour what it is held against. Texts shorter than the
+    guards are not compared, nor are texts of a language without any sound document; their distances
+    are null and only the base rules judge them. Repeated rows are judged alike, each giving a row. No
+    rows give no rows.
     """
     rows = materialize(measured(docs))
-    compared = lookup_join(rows, materialize(references(rows)), ["lang"])
-    enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS)
-    width = F.size("common")
-    distances = compared.withColumn(
-        "class_distance", F.when(enough, js_distance(F.col("classes"), F.col("classes_ref")))
-    ).withColumn(
-        "common_distance",
-        F.when(enough & (width > 1), js_distance(F.col("common"), F.slice(F.col("common_ref"), F.lit(1), width))),
-    )
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (
-        F.coalesce("common_distance", F.lit(0.0)) > MOST_WORD_DISTANCE
-    )
-    return distances.withColumn("kept", ~F.col("base_failed") & ~far)
+    sound = rows
+    for limits in TRIMS:
+        sound = compared(rows, sound).where(~_far(limits)).select(*rows.columns)
+    last = compared(rows, sound)
+    return last.withColumn("kept", ~F.col("base_failed") & ~_far(MOST_DISTANCE))

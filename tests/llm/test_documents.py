@@ -1,0 +1,281 @@
+"""Operators on documents against plain versions, on the small table and on awkward rows."""
+
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import licenses, mixing, packing, pii, quality, rules, simhash
+from quire.llm.queries import QUERIES, vocabulary
+
+from . import brute
+from .conftest import tricky_rows
+
+
+def rows_of(df, *columns) -> Counter:
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.fixture(params=["table", "tricky"])
+def docs(request, documents, tricky):
+    return documents if request.param == "table" else tricky
+
+
+def pairs(docs) -> list[tuple]:
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_base_spans(docs):
+    found = pii.found_personal_data(docs)
+    counts = [pii.count_of(F.col("base"), k) for k in pii.KINDS]
+    got = rows_of(found, "doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256), pii.spans_text(F.col("base")))
+    assert got == Counter((d, *brute.op2(t)) for d, t in pairs(docs))
+    # Base spans stay among all spans, and none overlap what was added.
+    for row in found.select("base", "spans").collect():
+        assert set(row.base) <= set(row.spans)
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    texts = [f"Mail me. hotline: +1 (20{i}) 555-01{i:02d} today" for i in range(20)]
+    texts += ["At night hotline: 0800 555 0199 is open", "the year 2024 555 0100 was long", "hotline: (closed)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in pii.found_personal_data(docs).collect()}
+    new = found[20].spans
+    assert [texts[20][s.start : s.end] for s in new] == ["0800 555 0199"] and new[0].kind == "phone"
+    assert found[20].base == [] and found[21].spans == [] and found[22].spans == []
+    clean = pii.found_personal_data(docs).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t"))
+    assert {r.doc_id: r.t for r in clean.collect()}[20] == "At night hotline: <PHONE> is open"
+
+
+def test_redaction_merges_overlaps(spark):
+    row = spark.createDataFrame([("abc😀efghij",)], "t string")
+    spans = F.expr("array(struct('ip' kind, 2L start, 5L end), struct('card' kind, 3L start, 7L end), struct('email' kind, 8L start, 9L end))")
+    assert row.select(pii.redacted(F.col("t"), spans)).first()[0] == "ab<IP>h<EMAIL>j"
+
+
+def test_pieces_and_places(docs):
+    from tokenizers import Tokenizer
+
+    placed = packing.packed_documents(docs, vocabulary()).collect()
+    tokenizer = Tokenizer.from_file(vocabulary())
+    want = Counter()
+    total = 0
+    for doc_id, text in pairs(docs):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+        total += len(ids)
+        want.update((doc_id, *p) for p in brute.pieces(ids, packing.LIMIT))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed) == want
+    filled = defaultdict(list)
+    for r in placed:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.LIMIT
+    assert len(filled) <= 1.1 * total / packing.LIMIT + 2
+
+
+def test_best_fit_plan_places_every_rank_once():
+    counts = {4096: 3, 4000: 2, 3000: 5, 1100: 7, 1000: 3, 96: 9, 1: 5000}
+    plan, used, ranks = packing.best_fit_plan(counts), Counter(), defaultdict(list)
+    for length, first, last, sequence, each, offset in plan:
+        ranks[length] += range(first, last + 1)
+        for r in range(first, last + 1):
+            used[sequence + (r - first) // each] += length
+    assert {k: len(v) for k, v in ranks.items()} == counts and all(v == list(range(len(v))) for v in ranks.values())
+    assert max(used.values()) <= 4096 and len(used) == -(-sum(k * n for k, n in counts.items()) // 4096)
+    assert packing.best_fit_plan({}) == []
+
+
+def test_plan_size_depends_on_the_limit_alone():
+    rng = np.random.default_rng(1)
+    small = dict(enumerate(rng.integers(1, 20, 4096).tolist(), 1))
+    large = {k: v * 100_000 for k, v in small.items()}
+    assert len(packing.best_fit_plan(large)) < 4 * 4096 > len(packing.best_fit_plan(small))
+
+
+def test_sequences_hold_the_ids(documents):
+    pieces = packing.tokenized_pieces(documents, vocabulary())
+    placed = packing.pack(pieces.drop("ids"))
+    whole = packing.sequences(placed, pieces).collect()
+    assert sum(len(r.ids) for r in whole) == pieces.agg(F.sum("length")).first()[0]
+    assert max(len(r.ids) for r in whole) <= packing.LIMIT
+
+
+def test_license_words_and_places(docs):
+    got = rows_of(licenses.scanned(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == Counter((d, *brute.op5(t)) for d, t in pairs(docs))
+
+
+def test_license_notices_are_found(spark):
+    filler = [f"Some words of a plain text number {i} that goes on." for i in range(60)]
+    notices = [
+        "x y. Licensed under the Apache License, Version 2.0. z",
+        "released UNDER the mit license",
+        "The license of the version was released under review",
+        "This work is licensed under the GNU General Public License, version 2",
+        "Apache License. Version 2.0 licensed",
+    ]
+    docs = spark.createDataFrame(list(enumerate(notices + filler)), "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.scanned(docs).collect()}
+    assert [got[i].labels for i in range(5)] == ["apache-2.0", "mit", "", "gpl,gpl-2.0", ""]
+    assert got[0].score == 1.0 and got[2].score == 0.0 and all(not got[i].labels for i in range(5, 65))
+    assert got[0].findings[0].offset == 2
+
+
+def test_rule_counts(docs):
+    got = rows_of(
+        rules.judged(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+    assert got == Counter((d, *brute.op9(t)) for d, t in pairs(docs))
+
+
+def test_js_distance(spark):
+    row = spark.createDataFrame([([1, 0], [0, 5], [2, 2], [0, 0])], "a array<bigint>, b array<bigint>, c array<bigint>, z array<bigint>")
+    d = lambda x, y: row.select(rules.js_distance(F.col(x), F.col(y))).first()[0]
+    assert d("a", "b") == 1 and d("a", "a") == 0 and d("a", "z") is None
+    assert d("a", "c") == pytest.approx(0.5579, abs=1e-4)
+
+
+def test_fingerprints_and_components(docs):
+    want = {}
+    rows = pairs(docs)
+    fps = {i: brute.fingerprint(t) for i, (_, t) in enumerate(rows)}
+    ids = {i: d if d is not None else 1 << 60 for i, (d, _) in enumerate(rows)}
+    roots = brute.components(fps)
+    smallest = defaultdict(lambda: 1 << 60)
+    for i, root in roots.items():
+        smallest[root] = min(smallest[root], ids[i])
+    want = Counter(
+        (rows[i][0], f"{fps[i]:016x}", None if smallest[roots[i]] == 1 << 60 else smallest[roots[i]]) for i in fps
+    )
+    got = rows_of(simhash.near_duplicates(docs), "doc_id", simhash.hexadecimal(F.col("fp")), "component_id")
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_search_finds_every_component(spark, monkeypatch, block):
+    """Dense balls and far points, for all plans, with buckets dealt into small blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 63, 12)
+    fps = {int(c) for c in rng.integers(0, 1 << 63, 200)}
+    for c in centres:
+        for _ in range(40):
+            flips = rng.choice(64, rng.integers(0, 5), replace=False)
+            fps.add(int(np.uint64(c) ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else c))
+    signed = [int(np.array([f], np.uint64).view(np.int64)[0]) for f in fps]
+    values = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    want = brute.components({i: f & (1 << 64) - 1 for i, f in enumerate(signed)})
+    groups = Counter(frozenset(signed[i] for i in want if want[i] == r) for r in set(want.values()))
+    bits = list(range(64))
+    plans = [
+        simhash.search_plan(values),
+        [(bits[:32], 1), (bits[32:], 1)],
+        [(bits[:20], 2), (bits[20:40], 0)] + [(bits[40:], -1)][:0],
+        [(bits[i : i + 16], 0) for i in range(0, 64, 16)],
+    ]
+    for plan in (plans[0], plans[1], plans[3]):
+        roots = simhash.connected_components(simhash.near_links(values, plan)).collect()
+        by = defaultdict(set)
+        for r in roots:
+            by[r.root].add(r.node)
+        alone = set(signed) - {r.node for r in roots}
+        assert Counter([frozenset(g) for g in by.values()] + [frozenset([a]) for a in alone]) == groups
+
+
+def test_allocated_thresholds_keep_the_pigeonhole_promise():
+    rng = np.random.default_rng(0)
+    for tau in (0, 3, 7):
+        shares = [np.sort(rng.random(17))[::1] / 9 for _ in range(4)]
+        cost, chosen = simhash.allocate(shares, 1000, tau)
+        assert sum(e + 1 for e in chosen) == tau + 1 and cost > 0
+
+
+def test_deduplicated_keeps_one_of_each_group(tricky, spark):
+    base = " ".join(f"term{i}" for i in range(200))
+    near = base.replace("term150", "other")
+    far = " ".join(f"term{i * 7 % 200}" for i in range(200))
+    rows = [(5, base), (3, near), (9, base), (4, far), (4, far), (None, base), (None, None), (8, ""), (None, "odd one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(simhash.deduplicated(docs), "doc_id", "text") == Counter(
+        [(3, near), (4, far), (8, ""), (None, "odd one")]
+    )
+    kept = rows_of(simhash.deduplicated(tricky), "doc_id")
+    assert kept == Counter((i,) for i in [0, *range(3, 7), *range(8, 20), None] if (i,) in kept) and (7,) not in kept
+    assert simhash.deduplicated(tricky).columns == tricky.columns
+
+
+def test_similarity():
+    assert simhash.similarity("a b c d e f", "A B C D E F") == 1 and simhash.similarity("", " ") == 1
+    assert simhash.similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
+
+
+def test_mixing_counts_and_rates(tricky):
+    rates = mixing.source_rates(tricky)
+    assert rates.count() == 4
+    mixed = mixing.mix(tricky, rates).select("doc_id", "source", "copy", "mix_key")
+    copies = Counter((r.doc_id, r.source) for r in mixed.collect())
+    again = Counter((r.doc_id, r.source) for r in mixing.mix(tricky, rates).collect())
+    assert copies == again
+    assert mixing.mix(tricky, mixing.source_rates(tricky, weights={"a": 1.0})).where("source <> 'a' or source is null").isEmpty()
+
+
+def test_mixture_meets_its_weights(spark):
+    rows = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.lit("xxxx").alias("text"), F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("source")
+    )
+    weights = {"big": 1.0, "small": 3.0}
+    mixed = mixing.mix(rows, mixing.source_rates(rows, weights))
+    share = {r["source"]: r["count"] / 40_000 for r in mixed.groupBy("source").count().collect()}
+    assert share["big"] == pytest.approx(0.25, abs=0.02) and share["small"] == pytest.approx(0.75, abs=0.02)
+    # 7.5 repeats on average, with a Poisson variable's spread
+    spread = mixed.where("source = 'small'").groupBy("doc_id").count().agg(F.var_samp("count")).first()[0]
+    assert spread == pytest.approx(7.5, rel=0.1)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Trained without labels; they only measure it."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.scored(docs, quality.fit(docs)).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    right = n.get((1, True), 0) + n.get((0, False), 0)
+    assert right / sum(n.values()) >= 0.97 and n.get((1, False), 0) <= 0.02 * n[(1, True)]
+
+
+def test_labeller_posteriors():
+    good = quality.pattern_of((1,) * 8)
+    bad = quality.pattern_of((0, 0) + (1,) * 6)
+    nothing = quality.pattern_of((2,) * 8)
+    posterior = quality.fit_labellers({good: 900, bad: 100, nothing: 5})
+    assert posterior[good] > 0.9 > 0.5 < posterior[nothing] and posterior[bad] < 0.1
+    assert quality.fit_labellers({}) == {} and not quality.train([]).any()
+
+
+def test_quality_on_awkward_rows(tricky):
+    scored = quality.scored(tricky, quality.fit(tricky))
+    assert scored.columns == [c for c in tricky.columns if c != "kept"] + ["quality_score", "kept"]
+    got = {r.doc_id: r for r in scored.collect()}
+    assert scored.count() == len(tricky_rows()) and not any(got[i].kept for i in range(3))
+
+
+def test_no_documents(no_documents):
+    assert pii.found_personal_data(no_documents).isEmpty()
+    assert packing.packed_documents(no_documents, vocabulary()).isEmpty()
+    assert licenses.scanned(no_documents).isEmpty()
+    assert rules.judged(no_documents).isEmpty()
+    assert simhash.near_duplicates(no_documents).isEmpty()
+    assert simhash.deduplicated(no_documents).isEmpty()
+    assert mixing.mix(no_documents, mixing.source_rates(no_documents)).isEmpty()
+    assert quality.scored(no_documents, quality.fit(no_documents)).isEmpty()
+
+
+def test_registered_names():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
