@@ -48,7 +48,7 @@ def batch_section_text(spark, d):
     SELECT artifact_id::VARCHAR AS unit_id, 'parser_error' AS code,
            'text block exceeds claim extraction quota' AS message,
            arg_min(external_id, group_rank * 1000000 + position) AS offender
-    FROM grouped WHERE len(content) > 2000 GROUP BY artifact_id""")
+    FROM grouped WHERE len(content) > 24000 GROUP BY artifact_id""")
 def batch_section_rejects(spark, d):
     return C.batch_section_text(I.candidates(spark, d), LIMIT)[1]
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+# Fixed value: the pattern of a citation.
 CITATION = r"\[\d+(?:\s*[,;–-]\s*\d+)*\]|\([A-ZÀ-Ỹ][^()\n]{0,100},\s*\d{4}[a-z]?\)"
 
 CTES = {
@@ -138,14 +139,14 @@ CTES = {
               FROM candidates)""",
     "packable": """
         SELECT *, len(content) AS n FROM grouped
-        WHERE artifact_id NOT IN (SELECT artifact_id FROM grouped WHERE len(content) > 2000)""",
+        WHERE artifact_id NOT IN (SELECT artifact_id FROM grouped WHERE len(content) > 24000)""",
     "packing": """
         SELECT artifact_id, group_rank, position, n AS filled, 0 AS batch_no
         FROM packable WHERE position = 0
         UNION ALL
         SELECT g.artifact_id, g.group_rank, g.position,
-               CASE WHEN p.filled + g.n > 2000 THEN g.n ELSE p.filled + g.n END,
-               p.batch_no + CASE WHEN p.filled + g.n > 2000 THEN 1 ELSE 0 END
+               CASE WHEN p.filled + g.n > 24000 THEN g.n ELSE p.filled + g.n END,
+               p.batch_no + CASE WHEN p.filled + g.n > 24000 THEN 1 ELSE 0 END
         FROM packing p JOIN packable g ON g.artifact_id = p.artifact_id
           AND g.group_rank = p.group_rank AND g.position = p.position + 1""",
     "batched": """
@@ -156,7 +157,7 @@ CTES = {
                CASE (artifact_id + (page_no - 1) * 8 + ordinal) % 4 WHEN 0 THEN 'text'
                     WHEN 1 THEN 'factual' WHEN 2 THEN 'citation' ELSE 'implementation' END
                  AS claim_type,
-               left(content, 20) AS claim_text, least(20, len(content)) AS span_end
+               content AS claim_text, len(content) AS span_end
         FROM batched""",
     "claims_with_ids": """
         SELECT *, sha256('{"source":"' || external_id || '","span":{"end":' || span_end ||
@@ -289,7 +290,7 @@ CTES = {
               FROM resolved)""",
     "edge_variants": """
         SELECT graph_id, id, count(DISTINCT coalesce(provenance, '') || '|' ||
-                 coalesce(printf('%.6f', confidence), '') || '|' || coalesce(reason, '') || '|' ||
+                 coalesce(confidence::VARCHAR, '') || '|' || coalesce(reason, '') || '|' ||
                  rule) AS variants,
                any_value(source) AS source, any_value(target) AS target,
                any_value(relation) AS relation, any_value(path) AS path,

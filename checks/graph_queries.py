@@ -11,7 +11,8 @@ from quire.operators import code_graph as G
 from quire.plans import code_graph as plan
 from quire.session import materialize, scratch_folder
 from quire.sources.graph_json import read_code_graph as read_graphs
-from quire.sources.sinks import snapshot_rows
+from quire.sources.sinks import read_graph_elements, snapshot_rows
+from quire.sources.sinks import write_graph_document as write_graph_document_of
 from quire.sources.tables import read_table, write_table
 
 VERSION = "1.2.3"
@@ -194,23 +195,23 @@ def audit_edge_endpoints(spark, d):
                 THEN 'extracted element without source span'
                 ELSE 'ambiguous element without reason' END AS message,
            id AS offender
-    FROM edges
+    FROM (SELECT graph_id, id, path, confidence, provenance FROM nodes
+          UNION ALL SELECT graph_id, id, path, confidence, provenance FROM edges)
     WHERE (confidence > 0.8 AND provenance = 'INFERRED')
        OR (path LIKE '%1.py' AND provenance = 'EXTRACTED') OR provenance = 'AMBIGUOUS'""")
 def audit_graph_elements(spark, d):
-    """Edges damaged by rule: some scores raised over one, some locations and reasons lost."""
-    edges = _edges(spark, d, _nodes(spark, d))
+    """Elements damaged by rule: some scores raised over one, some locations and reasons lost."""
+    nodes = _nodes(spark, d)
     raised = (F.col("confidence") > 0.8) & (F.col("provenance") == "INFERRED")
     lost = (F.col("provenance") == "EXTRACTED") & F.col("location.path").endswith("1.py")
-    damaged = edges.withColumns(
+    damaged = G.graph_elements(nodes, _edges(spark, d, nodes)).withColumns(
         {
             "confidence": F.when(raised, 1.5).otherwise(F.col("confidence")),
             "location": F.when(~lost | F.col("location").isNull(), F.col("location")),
             "reason": F.lit(None).cast("string"),
         }
     )
-    elements = G.graph_elements(damaged.limit(0).withColumn("kind", F.lit("")), damaged)
-    return G.audit_graph_elements(elements, G.PARSER, VERSION)
+    return G.audit_graph_elements(damaged, G.PARSER, VERSION)
 
 
 @register("""
@@ -331,15 +332,60 @@ def graph_snapshots(spark, d):
     )
 
 
-@register()
+@register(f"""
+    WITH bad AS (
+      SELECT graph_id FROM conflicted UNION
+      SELECT e.graph_id FROM ({ELEMENTS}) e JOIN inventory i
+        ON i.graph_id = e.graph_id AND i.path = e.path WHERE e.end_line > i.line_count)
+    SELECT graph_id, 'nodes' AS part, row_number() OVER (PARTITION BY graph_id ORDER BY id) AS position,
+           id, name AS called, path, end_line::BIGINT AS last_line, provenance,
+           round(confidence * 1000000)::BIGINT AS confidence
+    FROM nodes WHERE graph_id NOT IN (FROM bad)
+    UNION ALL
+    SELECT graph_id, 'edges', row_number() OVER (PARTITION BY graph_id
+             ORDER BY source, relation, target, id),
+           id, relation, path, end_line::BIGINT, provenance, round(confidence * 1000000)::BIGINT
+    FROM unique_edges WHERE graph_id NOT IN (FROM bad)
+    UNION ALL
+    SELECT graph_id, 'inventory', row_number() OVER (PARTITION BY graph_id ORDER BY path),
+           NULL, NULL, path, line_count, NULL, NULL
+    FROM inventory WHERE graph_id NOT IN (FROM bad)""")
 def write_graph_document(spark, d):
-    """Digest, size and warnings of each graph document; the digest has no SQL form."""
-    return _built(spark, d).documents.select(
+    """The elements of all documents, in order, as read back from the written parts."""
+    built = _built(spark, d)
+    folder = scratch_folder(spark)
+    write_graph_document_of(built.documents, built.parts, folder)
+    location = "location STRUCT<path: STRING, end_line: BIGINT>"
+    shapes = {
+        "nodes": ("name", f"id STRING, name STRING, provenance STRING, confidence DOUBLE, {location}"),
+        "edges": ("relation", f"id STRING, relation STRING, provenance STRING, confidence DOUBLE, {location}"),
+    }
+    files = read_graph_elements(spark, folder, "inventory", "path STRING, line_count BIGINT").select(
         "graph_id",
-        "graph_sha256",
-        "graph_byte_size",
-        F.array_join("warnings", ",").alias("warnings"),
+        F.lit("inventory").alias("part"),
+        "position",
+        F.lit(None).cast("string").alias("id"),
+        F.lit(None).cast("string").alias("called"),
+        F.col("element.path").alias("path"),
+        F.col("element.line_count").alias("last_line"),
+        F.lit(None).cast("string").alias("provenance"),
+        F.lit(None).cast("bigint").alias("confidence"),
     )
+    for part, (called, shape) in shapes.items():
+        files = files.unionByName(
+            read_graph_elements(spark, folder, part, shape).select(
+                "graph_id",
+                F.lit(part).alias("part"),
+                "position",
+                "element.id",
+                F.col(f"element.{called}").alias("called"),
+                F.col("element.location.path").alias("path"),
+                F.col("element.location.end_line").alias("last_line"),
+                "element.provenance",
+                F.round(F.col("element.confidence") * 1000000).cast("bigint").alias("confidence"),
+            )
+        )
+    return files
 
 
 def _built(spark, d):

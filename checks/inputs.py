@@ -68,6 +68,27 @@ def damaged_blocks(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def layout_pages(blocks: DataFrame) -> DataFrame:
+    """The pages a layout reader would give for these blocks, eight blocks to a page."""
+    block = F.struct(
+        F.col("label").alias("block_label"),
+        F.col("content").alias("block_content"),
+        F.array("x0", "y0", "x1", "y1").alias("block_bbox"),
+    )
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", block.alias("block")))), lambda b: b["block"]
+    )
+    return (
+        blocks.groupBy("artifact_id", "page_no")
+        .agg(listed.alias("parsing_res_list"))
+        .select(
+            "artifact_id",
+            "page_no",
+            F.to_json(F.struct("parsing_res_list")).alias("page_json"),
+        )
+    )
+
+
 def parsed_blocks(spark: SparkSession, directory: str) -> DataFrame:
     """Blocks with type, exclusion flag, markers, order, section and external id, as a table."""
     typed = L.flag_claim_exclusion(L.map_block_type(layout_blocks(spark, directory)))
@@ -79,7 +100,7 @@ def candidates(spark: SparkSession, directory: str) -> DataFrame:
     return C.group_section_text(C.claim_candidates(parsed_blocks(spark, directory)))
 
 
-CLAIM_BATCH_CHARS = 2_000
+CLAIM_BATCH_CHARS = C.MAX_BATCH_CHARS
 MODEL = "model-a"
 
 
@@ -96,7 +117,7 @@ def claim_rows(batched: DataFrame, faulty: bool) -> DataFrame:
         "CASE (artifact_id + (page_no - 1) * 8 + ordinal) % 4 WHEN 0 THEN 'text'"
         " WHEN 1 THEN 'factual' WHEN 2 THEN 'citation' ELSE 'implementation' END"
     )
-    said = F.substring("content", 1, 20)
+    said = F.col("content")
 
     def fault(n: int):
         return F.lit(faulty) & (m % n == 0)
@@ -118,7 +139,7 @@ def claim_rows(batched: DataFrame, faulty: bool) -> DataFrame:
             .alias("citation_markers"),
             F.struct(
                 F.lit(0).alias("start"),
-                F.when(fault(150), length + 1).otherwise(F.least(F.lit(20), length)).alias("end"),
+                F.when(fault(150), length + 1).otherwise(length).alias("end"),
             ).alias("source_span"),
         ).alias("claim"),
     )

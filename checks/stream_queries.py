@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks.registry import register
 from checks.report_queries import ocr_texts
-from quire.session import scratch_folder
+from quire.session import materialize, scratch_folder
 from quire.streaming import intake
 
 
@@ -63,10 +63,12 @@ def stream_ready(spark, d):
           UNION ALL
           SELECT artifact_id, page_no, reading_order, content, external_id FROM citations)""")
 def stream_layer1(spark, d):
-    """Layout files arriving in two lots, each lot processed as whole artifacts."""
+    """Layout files arriving in lots, every file twice; a second delivery replaces the first."""
     folder = scratch_folder(spark)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ocr_texts(spark, d).repartition(files).write.parquet(f"{folder}/arriving")
+    texts = materialize(ocr_texts(spark, d))
+    for _ in range(2):
+        texts.repartition(files).write.mode("append").parquet(f"{folder}/arriving")
     arriving = (
         spark.readStream.schema("artifact_id BIGINT, value STRING")
         .option("maxFilesPerTrigger", max(1, files // 2))
@@ -75,6 +77,6 @@ def stream_layer1(spark, d):
     intake.stream_layer1(
         arriving, f"{folder}/tables", f"{folder}/checkpoint", "layout-1"
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/tables/document_blocks").select(
+    return intake.delivered_table(spark, f"{folder}/tables", "document_blocks").select(
         "artifact_id", "page_no", "reading_order", "text_content", "id"
     )

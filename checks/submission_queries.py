@@ -37,11 +37,42 @@ def read_table(spark, d):
     )
 
 
-@register()
+@register("""
+    SELECT sum(length(c_name) + 1)::BIGINT AS byte_size,
+           sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256,
+           NULL::VARCHAR AS code
+    FROM customer GROUP BY c_nationkey""")
 def ingest_binary(spark, d):
-    """The given table files themselves, measured and screened as report uploads."""
+    """A file of customer names for each nation, measured and hashed as report uploads."""
+    folder = scratch_folder(spark)
+    (
+        I.table(spark, d, "customer")
+        .repartition("c_nationkey")
+        .sortWithinPartitions("c_nationkey", "c_custkey")
+        .select("c_name", "c_nationkey")
+        .write.partitionBy("c_nationkey")
+        .option("extension", "pdf")
+        .csv(f"{folder}/uploads")
+    )
+    measured = ingest(spark, f"{folder}/uploads", S.REPORT, media_type="application/pdf")
+    return measured.select("byte_size", "sha256", "code")
+
+
+@register("""
+    SELECT 'unsupported_media_type' AS code, 14::BIGINT AS n""")
+def ingest_binary_refusals(spark, d):
+    """The given tables as uploads: none of them has the name of a report."""
+    names = [
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+        "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    ]
     measured = ingest(spark, d, S.REPORT, media_type="application/pdf")
-    return measured.select("name", "byte_size", "sha256", "code")
+    of = F.regexp_extract("path", r"/(\w+)\.parquet", 1)
+    return (
+        measured.filter(of.isin(*names))
+        .groupBy("code")
+        .agg(F.count_distinct(of).alias("n"))
+    )
 
 
 @register("""
@@ -253,7 +284,17 @@ def fingerprints(spark, d):
     return R.with_input_fingerprint(ready).select("submission_id", "input_fingerprint")
 
 
-@register()
+LANES = " || ',' || ".join(
+    f"sum(('0x' || substr(row, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4)
+)
+
+
+@register(f"""
+    SELECT submission_id, sha256(count(*) || ',' || {LANES}) AS output_fingerprint
+    FROM (SELECT submission_id, sha256('{{"kind":"' || kind || '","version_no":' || version_no
+                   || ',"sha256":"' || sha256 || '"}}') AS row
+          FROM artifacts)
+    GROUP BY submission_id""")
 def output_fingerprints(spark, d):
     """Content hash of the artifacts of each submission; row hashes are summed, not listed."""
     rows = I.artifacts(spark, d).select("submission_id", "kind", "version_no", "sha256")
@@ -299,7 +340,7 @@ def audit_unique_partial(spark, d):
                         AND r.project_id = s.project_id)
     GROUP BY ALL""")
 def audit_foreign_keys(spark, d):
-    _, keys = foreign_keys("submissions")[3]
+    keys = next(keys for parent, keys in foreign_keys("submissions") if parent == "rubric_versions")
     rubrics = I.rubrics(spark, d).withColumnRenamed("rubric_version_id", "id")
     return Q.audit_foreign_keys(I.submissions(spark, d), rubrics, keys)
 
@@ -420,7 +461,7 @@ def layer1_inputs(spark, d) -> layer1.Layer1Inputs:
         " OR submission_id % 17 = 0 AND kind <> 'report_pdf', 'x', sha256) AS measured_sha256",
         "CAST('%PDF-' AS BINARY) AS head",
     )
-    blocks = I.damaged_blocks(spark, d)
+    pages = I.layout_pages(I.damaged_blocks(spark, d)).filter("artifact_id % 19 <> 3")
     batched = materialize(I.batched_candidates(spark, d, I.CLAIM_BATCH_CHARS))
     responses = I.claim_responses(I.claim_rows(batched, True), True)
     report_id = F.concat(F.lit("r"), F.col("artifact_id"))
@@ -455,11 +496,16 @@ def layer1_inputs(spark, d) -> layer1.Layer1Inputs:
         submissions=submissions,
         artifacts=materialize(artifacts),
         measured=measured,
-        layout_blocks=blocks.withColumn("artifact_id", report_id),
-        responses=responses.withColumn("artifact_id", report_id),
+        layout_pages=pages.withColumn("artifact_id", report_id),
+        responses=responses.filter("artifact_id % 23 <> 4").withColumn("artifact_id", report_id),
         raw_nodes=nodes,
         raw_edges=edges,
-        graphs=nodes.select("graph_id", F.lit(False).alias("parse_failed")).distinct(),
+        graphs=nodes.select("graph_id").distinct().selectExpr(
+            "graph_id",
+            "false AS parse_failed",
+            "graph_id AS source_artifact_id",
+            "IF(graph_id LIKE '%8', 'x', sha2(graph_id, 256)) AS source_sha256",
+        ),
         inventory=inventory.distinct(),
         ledger=materialize(R.record_runs(earlier, done, empty, started, started)),
     )
@@ -489,8 +535,10 @@ def layer1_inputs(spark, d) -> layer1.Layer1Inputs:
       SELECT 's' || (id::BIGINT // 2) FROM raw_nodes WHERE source_file IS NOT NULL
         AND end_line > CASE WHEN id::BIGINT // 2 % 10 = 4 THEN 40 ELSE 60 END),
     report_faults AS (
-      SELECT doc_id FROM doc_lines WHERE (doc_id * 5 + i) % 97 = 0
-      UNION SELECT artifact_id FROM grouped WHERE len(content) > 2000
+      SELECT doc_id FROM doc_lines
+        WHERE (doc_id * 5 + i) % 97 = 0 OR doc_id % 19 = 3
+      UNION SELECT artifact_id FROM grouped WHERE len(content) > 24000
+      UNION SELECT artifact_id FROM batched WHERE artifact_id % 23 = 4
       UNION SELECT artifact_id FROM claims_said
         WHERE artifact_id % 40 = 0 OR (artifact_id * 3 + i) % 150 = 0
            OR (artifact_id * 3 + i) % 151 = 0 OR (artifact_id * 3 + i) % 152 = 0
@@ -501,7 +549,7 @@ def layer1_inputs(spark, d) -> layer1.Layer1Inputs:
                 WHEN doc_id % 17 = 0 THEN 'conflict'
                 WHEN 's' || doc_id IN (FROM graph_faults) THEN 'parser_error'
                 WHEN NOT EXISTS (FROM raw_nodes n WHERE n.id::BIGINT // 2 = doc_id)
-                THEN 'internal_error' END AS error_code
+                THEN 'internal_error' WHEN doc_id % 10 = 8 THEN 'conflict' END AS error_code
     FROM documents
     WHERE doc_id % 11 = 0 OR (doc_id % 5 <> 0 AND doc_id % 9 <> 0)""")
 def run_layer1(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,17 @@ HEADING_NUMBER = rf"^({DIGIT}+(?:\.{DIGIT}+)*)[.)]?{SPACE}"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """Every decimal digit of Unicode, and the ASCII digit of the same value."""
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(every), "".join(str(unicodedata.decimal(c)) for c in every)
+
+
+def decimal_digits(text: Column) -> Column:
+    return F.translate(text, *_digits())
+
+
 def citation_matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ids, text
@@ -23,7 +23,7 @@ RESPONSE = "choices ARRAY<STRUCT<finish_reason: STRING, message: STRUCT<content:
 CLAIM_ARRAY = (
     "ARRAY<STRUCT<claim_type: STRING, text_content: STRING, source_block_external_id: STRING, "
     "context_block_external_ids: ARRAY<STRING>, citation_markers: ARRAY<STRING>, "
-    "source_span: STRUCT<start: INT, end: INT>, is_atomic: BOOLEAN, confidence: DOUBLE>>"
+    "source_span: STRING, is_atomic: BOOLEAN, confidence: DOUBLE>>"
 )
 
 
@@ -239,8 +239,8 @@ def parse_claim_responses(
     """Claims of every response, checked against the batch they answer.
 
     ``responses`` has ``(artifact_id, group_rank, batch_no, response)``. A response that did not
-    stop normally, holds no JSON list of claims or points outside its batch voids the artifact.
-    Responses are parsed once into a table.
+    stop normally, holds no JSON list of claims or points outside its batch voids the artifact,
+    and so does a batch that was never answered. Responses are parsed once into a table.
     """
     batch = ["artifact_id", "group_rank", "batch_no"]
     size = F.octet_length("response")
@@ -273,7 +273,9 @@ def parse_claim_responses(
     parsed = read.filter(F.col("fault").isNull()).select(
         "artifact_id", "group_rank", "batch_no", F.posexplode("claims").alias("claim_no", "claim")
     )
-    parsed = parsed.select("artifact_id", "group_rank", "batch_no", "claim_no", "claim.*")
+    parsed = parsed.select(
+        "artifact_id", "group_rank", "batch_no", "claim_no", "claim.*"
+    ).withColumn("source_span", _span(F.col("source_span")))
 
     named = F.array_distinct(
         F.concat(
@@ -285,8 +287,13 @@ def parse_claim_responses(
     outside = references.join(
         batched.select(*batch, "external_id"), [*batch, "external_id"], "left_anti"
     ).select(*batch, F.lit("claim references text outside its input").alias("fault"))
+    asked = batched.select(*batch).distinct()
+    unanswered = asked.join(responses.select(*batch), batch, "left_anti").select(
+        *batch, F.lit("no response").alias("fault")
+    )
     first = (
         broken.unionByName(outside)
+        .unionByName(unanswered)
         .groupBy("artifact_id")
         .agg(F.min(F.struct("group_rank", "batch_no", "fault")).alias("at"))
     )
@@ -312,6 +319,15 @@ def parse_claim_responses(
     return drop_units(stamped, rejects, "artifact_id"), rejects
 
 
+def _span(said: Column) -> Column:
+    """A source span; without ends where it holds any other key, so that it cannot be valid."""
+    known = F.array(F.lit("start"), F.lit("end"))
+    only = F.size(F.array_except(F.json_object_keys(said), known)) == 0
+    read = F.from_json(said, "start INT, end INT")
+    nothing = F.from_json(F.lit("{}"), "start INT, end INT")
+    return F.when(said.isNotNull(), F.when(F.coalesce(only, F.lit(False)), read).otherwise(nothing))
+
+
 def citation_subset_audit(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """Claims with a citation marker found neither in their source block nor in a context block.
 
@@ -358,37 +374,37 @@ def validate_claims(claims: DataFrame, grouped: DataFrame) -> tuple[DataFrame, D
             "is_atomic": F.coalesce("is_atomic", F.lit(False)),
         }
     )
-    order = F.struct("group_rank", "batch_no", "claim_no")
-    firsts = (
-        claims.groupBy("artifact_id", "external_id")
-        .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_times"))
-        .filter("_times > 1")
-        .drop("_times")
+    key = ["artifact_id", "group_rank", "batch_no", "claim_no"]
+    # Each named block meets its facts once; a claim then gathers what its few blocks told.
+    named = F.array_distinct(F.concat(F.array("source_block_external_id"), "context_block_external_ids"))
+    references = claims.select(
+        *key, "source_block_external_id", "context_block_external_ids", F.explode(named).alias("_block")
+    ).select(
+        *key,
+        "_block",
+        (F.col("_block") == F.col("source_block_external_id")).alias("_is_source"),
+        F.array_contains("context_block_external_ids", F.col("_block")).alias("_is_context"),
     )
-    members = grouped.select("artifact_id", "group_rank", F.col("external_id").alias("_block"))
-    sources = grouped.select(
+    facts = grouped.select(
         "artifact_id",
-        "group_rank",
-        F.col("external_id").alias("source_block_external_id"),
-        F.char_length("content").alias("_source_chars"),
+        F.col("external_id").alias("_block"),
+        F.col("group_rank").alias("_group"),
+        F.char_length("content").alias("_chars"),
+        F.col("markers").alias("_markers"),
     )
-    key = ["artifact_id", "group_rank", "batch_no", "claim_no"]
-    contexts = claims.select(
-        "artifact_id", "group_rank", F.explode("context_block_external_ids").alias("_block")
-    ).distinct()
-    foreign = contexts.join(members, ["artifact_id", "group_rank", "_block"], "left_anti")
-    foreign = claims.select(
-        *key, F.explode("context_block_external_ids").alias("_block")
-    ).join(foreign, ["artifact_id", "group_rank", "_block"], "left_semi")
-    foreign = foreign.select(*key).distinct().withColumn("_foreign", F.lit(True))
-    invented = citation_subset_audit(claims, grouped).select(*key, "invented")
-
-    joined = (
-        claims.join(firsts, ["artifact_id", "external_id"], "left")
-        .join(sources, ["artifact_id", "group_rank", "source_block_external_id"], "left")
-        .join(foreign, key, "left")
-        .join(invented, key, "left")
+    inside = F.coalesce(F.col("_group") == F.col("group_rank"), F.lit(False))
+    told = (
+        references.join(facts, ["artifact_id", "_block"], "left")
+        .groupBy(*key)
+        .agg(
+            F.max(F.when(F.col("_is_source") & inside, F.col("_chars"))).alias("_source_chars"),
+            F.max(F.col("_is_context") & ~inside).alias("_foreign"),
+            F.flatten(F.collect_list("_markers")).alias("_found"),
+        )
     )
+    same = Window.partitionBy("artifact_id", "external_id").orderBy("group_rank", "batch_no", "claim_no")
+    joined = claims.withColumn("_nth", F.row_number().over(same)).join(told, key, "left")
+    invented = F.size(F.array_except("citation_markers", "_found")) > 0
     span = F.col("source_span")
     schema = first_failure(
         (~F.coalesce(F.col("claim_type").isin(*CLAIM_TYPES), F.lit(False)), "claim type"),
@@ -404,9 +420,9 @@ def validate_claims(claims: DataFrame, grouped: DataFrame) -> tuple[DataFrame, D
         (F.coalesce(F.col("extractor_version"), F.lit("")) == "", "extractor version"),
     )
     rules = first_failure(
-        (F.coalesce(F.col("_first") < order, F.lit(False)), "duplicate claim"),
+        (F.col("_nth") > 1, "duplicate claim"),
         (F.col("_source_chars").isNull(), "source outside section"),
-        (F.col("_foreign").isNotNull(), "context outside section"),
+        (F.coalesce(F.col("_foreign"), F.lit(False)), "context outside section"),
         (
             ~F.coalesce(
                 (span["start"] >= 0)
@@ -417,7 +433,7 @@ def validate_claims(claims: DataFrame, grouped: DataFrame) -> tuple[DataFrame, D
             ),
             "invalid source span",
         ),
-        (F.col("invented").isNotNull(), "invented citation markers"),
+        (F.coalesce(invented, F.lit(False)), "invented citation markers"),
     )
     failing = joined.select(
         "artifact_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ids, text
 from quire.operators.layout import literal_map
-from quire.operators.scan import SEGMENT, Running, position_in_unit, segmented_scan
+from quire.operators.scan import position_in_unit
 from quire.rejects import Code, drop_units, first_failure, reject_rows, union_rejects
 
 # Provenance tags, parser evidence, relation names, reasons and warnings.
@@ -27,12 +27,10 @@ WARN_EMPTY = "no_structural_entities"
 WARN_AMBIGUOUS = "unresolved_entities"
 WARN_ENDPOINT = "unresolved_edge_endpoint"
 
-ID_DIGITS_PER_SEGMENT = 3
-
 
 def _line(digits: Column) -> Column:
-    """A line number; one too large for an INT is past the end of any file."""
-    return F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1))
+    """A line number in digits of any script; one too large for an INT is past the end of any file."""
+    return F.coalesce(text.decimal_digits(digits).try_cast("int"), F.lit(2**31 - 1))
 
 
 def normalize_graph_element(elements: DataFrame, rule: Column) -> DataFrame:
@@ -58,7 +56,7 @@ def normalize_graph_element(elements: DataFrame, rule: Column) -> DataFrame:
     unresolved = F.col("location").isNull() | ((tag == "INFERRED") & score.isNull())
     return elements.withColumn("location", location).withColumns(
         {
-            "provenance": F.when(unresolved, "AMBIGUOUS").otherwise(tag),
+            "provenance": F.when(unresolved & tag.isin(*PROVENANCE), "AMBIGUOUS").otherwise(tag),
             "confidence": F.when(~unresolved, score),
             "reason": F.when(unresolved, UNRESOLVED_REASON).when(
                 tag == "AMBIGUOUS", AMBIGUOUS_REASON
@@ -159,6 +157,21 @@ def normalize_edges(resolved: DataFrame) -> DataFrame:
     )
 
 
+def audit_raw_elements(raw_nodes: DataFrame, raw_edges: DataFrame) -> DataFrame:
+    """Graphs with a node without an id, or an edge without an end or a relation."""
+    missing = raw_nodes.filter("id IS NULL").select("graph_id", F.lit("node without id").alias("why"))
+    loose = raw_edges.filter("source IS NULL OR target IS NULL OR relation IS NULL").select(
+        "graph_id", F.lit("edge without ends or relation").alias("why")
+    )
+    return reject_rows(
+        missing.unionByName(loose).distinct(),
+        "graph_id",
+        Code.PARSER_ERROR,
+        F.col("why"),
+        F.lit(None).cast("string"),
+    )
+
+
 def audit_duplicate_ids(df: DataFrame, unit: str, keys: list[str], what: str) -> DataFrame:
     """Ids that occur more than once in their unit."""
     repeated = df.groupBy(unit, *keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -175,7 +188,7 @@ def edge_content(edges: DataFrame) -> Column:
     """What has to be equal for two edges with one id to be the same edge."""
     return ids.digest(
         F.col("provenance").alias("provenance"),
-        F.format_string("%.6f", F.col("confidence")).alias("confidence"),
+        F.col("confidence").cast("string").alias("confidence"),
         F.col("reason").alias("reason"),
         F.col("rule").alias("rule"),
         F.col("location").alias("location"),
@@ -371,10 +384,10 @@ def graph_warnings(
     )
 
 
-def canonical_node_order(nodes: DataFrame, digits: int = ID_DIGITS_PER_SEGMENT) -> DataFrame:
-    """``position`` of nodes by id. Ids are hashes, so their leading digits cut even segments."""
-    cut = nodes.withColumn(SEGMENT, F.conv(F.substring("id", 1, digits), 16, 10).cast("int"))
-    return segmented_scan(cut, ["graph_id"], ["id"], [Running("position", F.lit(1))]).drop(SEGMENT)
+def canonical_node_order(nodes: DataFrame, segments: int | None = None) -> DataFrame:
+    """``position`` of nodes by id, for their keys alone."""
+    keys = nodes.select("graph_id", "id")
+    return position_in_unit(keys, ["graph_id"], ["id"], segments=segments)
 
 
 def canonical_edge_order(edges: DataFrame, segments: int | None = None) -> DataFrame:

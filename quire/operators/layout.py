@@ -57,15 +57,20 @@ def literal_map(table: dict[str, str]) -> Column:
 def audit_layout_output(
     pages: DataFrame, max_bytes: int = MAX_OCR_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """Keep the pages of artifacts within the byte quota whose every page has a block list.
+    """Keep the pages of artifacts within the byte quota whose every page lists block objects.
 
     ``pages`` has ``(artifact_id, page_no, page_json)``; an artifact without pages is one row
-    with null ``page_no``.
+    with null ``page_no``, and a line that cannot be read one page without a list. With a column
+    ``n_bytes``, the size of the result file, that is held against the quota, else the pages' own.
     """
     blocks = F.try_parse_json(F.get_json_object("page_json", "$.parsing_res_list"))
-    is_list = F.coalesce(F.schema_of_variant(blocks).startswith("ARRAY<"), F.lit(False))
+    kind = F.schema_of_variant(blocks)
+    is_list = F.coalesce(
+        (kind == "ARRAY<VOID>") | kind.startswith("ARRAY<OBJECT"), F.lit(False)
+    )
+    size = F.max("n_bytes") if "n_bytes" in pages.columns else F.sum(F.octet_length("page_json"))
     per_artifact = pages.groupBy("artifact_id").agg(
-        F.coalesce(F.sum(F.octet_length("page_json")), F.lit(0)).alias("n_bytes"),
+        F.coalesce(size, F.lit(0)).alias("n_bytes"),
         F.count("page_no").alias("n_pages"),
         F.min(F.when(F.col("page_no").isNotNull() & ~is_list, F.col("page_no"))).alias("bad_page"),
     )
@@ -85,6 +90,22 @@ def audit_layout_output(
     return drop_units(pages, rejects, "artifact_id"), rejects
 
 
+def audit_labels(blocks: DataFrame) -> DataFrame:
+    """Artifacts with a block that names no label; the first one in document order offends."""
+    first = (
+        blocks.filter("label IS NULL")
+        .groupBy("artifact_id")
+        .agg(F.min(F.struct("page_no", "ordinal")).alias("at"))
+    )
+    return reject_rows(
+        first,
+        "artifact_id",
+        Code.PARSER_ERROR,
+        "block without label",
+        F.format_string("p%d-b%d", F.col("at.page_no"), F.col("at.ordinal")),
+    )
+
+
 def map_block_type(blocks: DataFrame) -> DataFrame:
     mapped = literal_map(BLOCK_TYPE_OF_LABEL)[F.col("label")]
     return blocks.withColumn("block_type", F.coalesce(mapped, F.lit("text")))

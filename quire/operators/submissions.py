@@ -129,7 +129,8 @@ def resolve_idempotency(requests: DataFrame, stored: DataFrame) -> DataFrame:
         .groupBy("idempotency_key")
         .agg(F.min(F.struct("rank", "id", "fields")).alias("known"))
     )
-    joined = requests.join(known, "idempotency_key", "left")
+    # requests without a key meet nothing, so they stay out of the join
+    joined = requests.filter(keyed).join(known, "idempotency_key", "left")
     itself = (F.col("known.rank") == 1) & (F.col("known.id") == F.col("request_id"))
     same = F.lit(True)
     for name in REQUEST_FIELDS:
@@ -140,11 +141,17 @@ def resolve_idempotency(requests: DataFrame, stored: DataFrame) -> DataFrame:
         .otherwise("conflict")
     )
     existing = F.when(F.col("outcome") != "new", F.col("known.id"))
-    return (
+    met = (
         joined.withColumn("outcome", outcome)
         .withColumn("existing_id", existing)
         .select(*requests.columns, "outcome", "existing_id")
     )
+    keyless = requests.filter(~F.coalesce(keyed, F.lit(False))).select(
+        *requests.columns,
+        F.lit("new").alias("outcome"),
+        F.lit(None).cast(met.schema["existing_id"].dataType).alias("existing_id"),
+    )
+    return met.unionByName(keyless)
 
 
 def reject_repeated_attempts(

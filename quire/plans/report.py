@@ -12,6 +12,7 @@ from quire.operators import layout as L
 from quire.operators.code_graph import audit_duplicate_ids
 from quire.rejects import drop_units, union_rejects
 from quire.session import materialize
+from quire.sources.layout import blocks_of
 
 
 class ReportTables(NamedTuple):
@@ -20,6 +21,20 @@ class ReportTables(NamedTuple):
     rejects: DataFrame
 
 
+def audited_report_tables(
+    pages: DataFrame, max_bytes: int = L.MAX_OCR_BYTES
+) -> ReportTables:
+    """The same from pages as a layout reader gives them; artifacts it cannot use are rejects.
+
+    ``pages`` has ``(artifact_id, page_no, page_json)``, one row with null page for an artifact
+    without pages.
+    """
+    sound, unusable = L.audit_layout_output(pages, max_bytes)
+    unusable = materialize(unusable)
+    built = build_report_tables(blocks_of(sound))
+    return built._replace(rejects=union_rejects(unusable, built.rejects))
+
+
 def build_report_tables(layout_blocks: DataFrame) -> ReportTables:
     """Sections, blocks (with derived citation blocks) and rejects of all artifacts.
 
@@ -28,7 +43,7 @@ def build_report_tables(layout_blocks: DataFrame) -> ReportTables:
     only, captions see boxes only; only the final blocks carry text.
     """
     _, bad_boxes = L.validate_bbox(layout_blocks)
-    bad_boxes = materialize(bad_boxes)
+    bad_boxes = materialize(union_rejects(L.audit_labels(layout_blocks), bad_boxes))
     typed = L.flag_claim_exclusion(L.map_block_type(drop_units(
         layout_blocks, bad_boxes, "artifact_id"
     )))

@@ -24,12 +24,17 @@ def ingest_binary(
 
     ``declared`` has ``(name, media_type)`` per uploaded file. The scan does not deliver empty
     files, so a declared name without a scanned file is one of size zero; without ``declared``
-    every scanned file has ``media_type``. Files refused by name, type or size are not hashed,
-    and a query that needs only the checks leaves the content out of the scan.
+    every scanned file has ``media_type``. Files refused by name, type or size have no hash, and a
+    query that needs only the checks leaves the content out of the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # Files are reduced to hash and head where they are read; no content meets a join.
     found = files.select(
-        "path", base_name(F.col("path")).alias("name"), F.col("length").alias("_length"), "content"
+        "path",
+        base_name(F.col("path")).alias("name"),
+        F.col("length").alias("_length"),
+        F.sha2("content", 256).alias("_sha256"),
+        F.substring("content", 1, SIGNATURE_BYTES).alias("_head"),
     )
     if declared is None:
         named = found.withColumn("media_type", F.lit(media_type))
@@ -40,7 +45,7 @@ def ingest_binary(
         "path",
         "name",
         "byte_size",
-        F.when(F.col("code").isNull(), F.sha2("content", 256)).alias("sha256"),
-        F.when(F.col("code").isNull(), F.substring("content", 1, SIGNATURE_BYTES)).alias("head"),
+        F.when(F.col("code").isNull(), F.col("_sha256")).alias("sha256"),
+        F.when(F.col("code").isNull(), F.col("_head")).alias("head"),
         "code",
     )

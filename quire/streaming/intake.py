@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.submissions import REPORT, SOURCE
-from quire.plans.report import build_report_tables
-from quire.sources.layout import blocks_of, pages_of
+from quire.plans.report import audited_report_tables
+from quire.session import scratch_scope
+from quire.sources.layout import pages_of
 from quire.sources.sinks import block_rows, section_rows
 
 
@@ -49,17 +50,19 @@ def newest_pairs(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def stream_ready(artifacts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def stream_ready(
+    artifacts: DataFrame, folder: str, checkpoint: str, **trigger: str | bool
+) -> StreamingQuery:
     """Maintain the latest pair of each submission, writing it whenever both exist.
 
     State is one row per submission. Updates land in a table by batch; ``ready_table`` reads the
-    newest of each submission.
+    newest of each submission. ``trigger`` is that of the writer, all data at hand by default.
     """
     pairs = newest_pairs(artifacts).filter("report IS NOT NULL AND source IS NOT NULL")
     return (
         pairs.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(lambda df, batch_id: _replace_batch(df, folder, batch_id))
         .start()
     )
@@ -72,26 +75,43 @@ def ready_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_layer1(
-    texts: DataFrame, folder: str, checkpoint: str, parser_version: str
+    texts: DataFrame, folder: str, checkpoint: str, parser_version: str, **trigger: str | bool
 ) -> StreamingQuery:
     """Document tables from layout files as they arrive, whole artifacts per micro-batch.
 
-    ``texts`` is a stream of ``(artifact_id, value)``, one result file per row.
+    ``texts`` is a stream of ``(artifact_id, value)``, one result file per row. Each batch notes
+    what it delivered, last; ``delivered_table`` reads the newest delivery of each artifact, so a
+    file that comes twice replaces itself. Scratch tables go when the batch is done.
     """
 
     def process(df: DataFrame, batch_id: int) -> None:
-        built = build_report_tables(blocks_of(pages_of(df)))
-        tables = {
-            "document_sections": section_rows(built.sections),
-            "document_blocks": block_rows(built.blocks, parser_version),
-            "rejects": built.rejects,
-        }
-        for name, rows in tables.items():
-            _replace_batch(rows, f"{folder}/{name}", batch_id)
+        with scratch_scope(df.sparkSession):
+            once = df.groupBy("artifact_id").agg(F.max("value").alias("value"))
+            built = audited_report_tables(pages_of(once))
+            tables = {
+                "document_sections": section_rows(built.sections),
+                "document_blocks": block_rows(built.blocks, parser_version),
+                "rejects": built.rejects.withColumnRenamed("unit_id", "artifact_id"),
+                "deliveries": df.select(F.col("artifact_id").cast("string")).distinct(),
+            }
+            for name, rows in tables.items():
+                _replace_batch(rows, f"{folder}/{name}", batch_id)
 
     return (
         texts.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(process)
         .start()
     )
+
+
+def delivered_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows of a table that ``stream_layer1`` keeps, of each artifact's newest delivery."""
+    newest = (
+        spark.read.parquet(f"{folder}/deliveries")
+        .groupBy("artifact_id")
+        .agg(F.max("batch_id").alias("batch_id"))
+    )
+    rows = spark.read.parquet(f"{folder}/{name}")
+    keyed = rows.withColumn("artifact_id", F.col("artifact_id").cast("string"))
+    return keyed.join(newest, ["artifact_id", "batch_id"], "left_semi").drop("batch_id")

@@ -116,6 +116,19 @@ def test_response_faults(spark):
     assert one.extractor_version == "m:claims-1" and len(one.external_id) == 64
 
 
+def test_a_batch_without_an_answer_voids_its_unit(spark):
+    batched = grouped(spark, {0: [4, 4], 1: [4, 4]}).withColumn("batch_no", F.lit(0))
+    answers = spark.createDataFrame(
+        [(0, 0, 0, response([claim()]))],
+        "artifact_id INT, group_rank INT, batch_no INT, response STRING",
+    )
+    claims, rejects = C.parse_claim_responses(answers, batched, "m")
+    assert [(r.unit_id, r.message, r.offender) for r in rejects.collect()] == [
+        ("1", "no response", "0/0")
+    ]
+    assert claims.count() == 1
+
+
 def test_claim_faults(spark):
     cases = [
         ([claim()], None),
@@ -127,6 +140,7 @@ def test_claim_faults(spark):
         ([claim(source_span={"start": 2, "end": 2})], "invalid source span"),
         ([claim(source_span={"start": -1, "end": 2})], "invalid source span"),
         ([claim(source_span={"start": 0})], "invalid source span"),
+        ([claim(source_span={"start": 0, "end": 2, "page": 1})], "invalid source span"),
         ([claim(text_content="  \n")], "invalid source span"),
         ([claim(citation_markers=["[1]", "[2]"])], "invented citation markers"),
         ([claim(source_block_external_id="p1-b1", context_block_external_ids=["p1-b0"])], None),

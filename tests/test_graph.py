@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import archives as A
 from quire.operators import code_graph as G
+from quire.sources import sinks
 from quire.sources.graph_json import read_code_graph
 
 RAW_NODE = (
@@ -54,6 +55,75 @@ def test_locations_and_provenance(spark):
     assert got[8].reason == G.AMBIGUOUS_REASON and got[7].reason is None
 
 
+def test_line_digits_of_any_script_and_unknown_tags(spark):
+    rows = [
+        {"source_file": "a.py", "source_location": "L٣-L１２"},
+        {"source_file": "a.py", "source_location": "L99999999999"},
+        {"confidence": "GUESSED"},
+    ]
+    out = G.normalize_graph_element(raw(spark, *rows), F.lit(G.NODE_RULE)).collect()
+    got = {int(r.id): r for r in out}
+    assert tuple(got[0].location) == ("a.py", 3, 12)
+    assert got[1].location.start_line == 2**31 - 1
+    assert got[2].provenance == "GUESSED"
+
+
+def test_raw_elements_without_ids(spark):
+    nodes = raw(spark, {"graph_id": 1}, {"graph_id": 2, "id": None})
+    edges = spark.createDataFrame(
+        [(1, "0", "0", "calls"), (3, None, "0", "calls"), (4, "0", "0", None)],
+        "graph_id INT, source STRING, target STRING, relation STRING",
+    )
+    assert {r.unit_id for r in G.audit_raw_elements(nodes, edges).collect()} == {"2", "3", "4"}
+
+
+def test_confidence_is_compared_exactly(spark):
+    rows = [(1, "e", "a", "b", "r", None, "EXTRACTED", c, None, "r") for c in (0.1234561, 0.1234564)]
+    edges = spark.createDataFrame(
+        rows,
+        "graph_id INT, id STRING, source STRING, target STRING, relation STRING,"
+        " location STRUCT<path: STRING, start_line: INT, end_line: INT>, provenance STRING,"
+        " confidence DOUBLE, reason STRING, rule STRING",
+    )
+    kept, rejects = G.dedupe_edges(edges)
+    assert kept.isEmpty() and [r.message for r in rejects.collect()] == ["conflicting edge evidence"]
+
+
+def test_documents_of_any_size_are_written_in_parts(spark, tmp_path):
+    n = 200_000
+    nodes = spark.range(n).select(
+        F.lit(1).alias("graph_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("id"),
+        F.lit("entity").alias("kind"),
+        F.concat(F.lit("name " * 20), "id").alias("name"),
+        F.expr("named_struct('path', 'a.py', 'start_line', 1, 'end_line', 2)").alias("location"),
+        F.lit("EXTRACTED").alias("provenance"),
+        (F.lit(1.0) / (F.col("id") + 1)).alias("confidence"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(G.NODE_RULE).alias("rule"),
+    )
+    edges = nodes.limit(0).select(
+        "graph_id", "id", F.lit("").alias("source"), F.lit("").alias("target"),
+        F.lit("").alias("relation"), "location", "provenance", "confidence", "reason", "rule",
+    )
+    files = spark.createDataFrame([(1, "a.py", 9)], "graph_id INT, path STRING, line_count INT")
+    warnings = spark.createDataFrame([(1, [], "complete")], "graph_id INT, warnings ARRAY<STRING>, status STRING")
+    sources = spark.createDataFrame([(1, "s", "h")], "graph_id INT, source_artifact_id STRING, source_sha256 STRING")
+    parts = sinks.graph_parts(nodes, edges, files).cache()
+    document = sinks.graph_documents(nodes, edges, parts, warnings, sources, "1")
+    row = document.first()
+    assert row.graph_byte_size > 32 * 1024 * 1024 and row.node_count == n
+    assert parts.count() == -(-n // sinks.PART_ROWS) + 1
+    sinks.write_graph_document(document, parts, str(tmp_path))
+    read = sinks.read_graph_elements(spark, str(tmp_path), "nodes", "id STRING, confidence DOUBLE")
+    want = nodes.select("id", "confidence")
+    assert read.select("element.id", "element.confidence").exceptAll(want).isEmpty()
+    ids = [r.id for r in read.orderBy("position").select("element.id").collect()]
+    assert ids == sorted(ids) and len(ids) == n
+    text = json.loads("[" + parts.filter("part = 'nodes'").orderBy("part_no").first().json + "]")
+    assert text[0]["id"] == ids[0]
+
+
 def test_node_kinds(spark):
     rows = [
         ({"type": "struct"}, "struct"), ({"type": "", "metadata_kind": "enum"}, "enum"),
@@ -216,6 +286,16 @@ def test_archive_admission_takes_the_first_fault(spark):
     }
 
 
+def test_sparse_entry_numbers_are_checked(spark):
+    rows = [("a", 1, "x.py"), ("a", 20_000, "../evil.py"), ("b", 20_000, "y.py")]
+    df = spark.createDataFrame(
+        [(*r, 1, 1, "regular") for r in rows],
+        "archive_id STRING, entry_no BIGINT, name STRING, file_size BIGINT, compress_size BIGINT, mode STRING",
+    )
+    got = {r.archive_id: (r.message, r.first_bad_entry) for r in A.admit_archives(df).collect()}
+    assert got == {"a": ("unsafe path", 20_000), "b": (None, None)}
+
+
 def test_files_languages_and_lines(spark):
     files = {
         "a.py": (b"x\ny", None, "python", "extension", 2),

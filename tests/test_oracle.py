@@ -11,6 +11,7 @@ TABLES = (
 ).split()
 TYPES = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
     "timestamp": "TIMESTAMP",

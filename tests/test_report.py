@@ -1,5 +1,6 @@
 """Layout operators on literal rows."""
 
+import json
 import random
 import re
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import captions, hierarchy
 from quire.operators import layout as L
-from quire.plans.report import build_report_tables
-from quire.sources.layout import blocks_of, pages_of
+from quire.plans.report import audited_report_tables, build_report_tables
+from quire.sources.layout import blocks_of, pages_of, read_layout_pages
 
 BLOCK = (
     "artifact_id INT, page_no INT, ordinal INT, label STRING, content STRING,"
@@ -80,50 +81,97 @@ def test_heading_levels(spark):
         assert r.got == r.want, r.t
 
 
-def greedy(page):
-    """Caption links by a plain loop over the page."""
-    kinds = captions.CAPTION_KIND
-    taken = {}
-    for c in page:
-        if c["label"] not in kinds:
-            continue
-        free = [
-            t for t in page
-            if t["type"] == kinds[c["label"]] and t["section"] == c["section"]
-            and t["ordinal"] not in taken
-            and min(t["box"][2], c["box"][2]) > max(t["box"][0], c["box"][0])
-        ]
-        if free:
-            best = min(free, key=lambda t: min(abs(t["box"][3] - c["box"][1]),
-                                               abs(c["box"][3] - t["box"][1])))
-            taken[best["ordinal"]] = f"p1-b{c['ordinal']}"
-    return taken
-
-
-def test_captions_equal_the_loop_with_ties_and_contention(spark):
-    rng = random.Random(11)
+# One page each: (label, box) in order, and the links "target <- caption" that are expected.
+CAPTION_PAGES = {
+    "the nearer of two targets": (
+        [("image", (0, 0, 50, 10)), ("image", (0, 60, 50, 70)), ("figure_title", (0, 72, 50, 80))],
+        {1: 2},
+    ),
+    "equally near: the first target": (
+        [("image", (0, 0, 50, 10)), ("figure_title", (0, 20, 50, 30)), ("image", (0, 40, 50, 50))],
+        {0: 1},
+    ),
+    "a taken target leaves the next one": (
+        [
+            ("image", (0, 0, 50, 10)), ("figure_title", (0, 12, 50, 20)),
+            ("figure_caption", (0, 22, 50, 30)), ("image", (0, 90, 50, 99)),
+        ],
+        {0: 1, 3: 2},
+    ),
+    "an early caption takes what suits a later one better": (
+        [("figure_title", (0, 0, 90, 10)), ("image", (0, 50, 90, 60)), ("figure_title", (0, 61, 90, 70))],
+        {1: 0},
+    ),
+    "beside, with touching edges, is no overlap": (
+        [("image", (0, 0, 50, 10)), ("figure_title", (50, 12, 90, 20))],
+        {},
+    ),
+    "tables and figures do not mix": (
+        [
+            ("table", (0, 0, 50, 10)), ("figure_title", (0, 12, 50, 20)),
+            ("table_title", (0, 90, 50, 99)), ("chart", (0, 100, 50, 110)),
+        ],
+        {0: 2, 3: 1},
+    ),
+    "a heading parts the page": (
+        [
+            ("image", (0, 0, 50, 10)), ("paragraph_title", (0, 12, 50, 20)),
+            ("figure_title", (0, 22, 50, 30)), ("image", (0, 90, 50, 99)),
+        ],
+        {3: 2},
+    ),
+    "a caption without any target": ([("table_caption", (0, 0, 50, 10)), ("text", (0, 12, 50, 20))], {}),
+}
+
+
+def _linked(spark, rows):
+    typed = L.assign_sections(L.map_block_type(L.block_external_ids(blocks(spark, rows))))
+    return captions.link_captions(typed).collect()
+
+
+def test_captions_of_literal_pages(spark):
     rows, expected = [], {}
-    for a in range(60):
-        page = []
-        section = None
+    for a, (page, links) in enumerate(CAPTION_PAGES.values()):
+        rows += [(a, 1, o, label, "x", box) for o, (label, box) in enumerate(page)]
+        expected.update({(a, target): f"p1-b{caption}" for target, caption in links.items()})
+    linked = {
+        (r.artifact_id, r.ordinal): r.caption_external_id
+        for r in _linked(spark, rows) if r.caption_external_id
+    }
+    assert linked == expected
+
+
+def test_caption_links_are_fair(spark):
+    """No caption and no target twice; a target left free suits no caption better than its own."""
+    rng = random.Random(11)
+    labels = ["figure_title", "figure_caption", "table_title", "table_caption", "image", "chart", "table"]
+    rows = []
+    for a in range(40):
         for o in range(14):
-            label = rng.choice(
-                ["figure_title", "figure_caption", "table_title", "table_caption", "image",
-                 "chart", "table", "text", "paragraph_title"]
-            )
-            if label == "paragraph_title":
-                section = o
             x, y = rng.choice([0, 50, 100]), rng.choice([0, 10, 20, 30])
-            box = (x, y, x + 50, y + 10)
-            kind = L.BLOCK_TYPE_OF_LABEL.get(label, "text")
-            page.append({"label": label, "type": kind, "section": section, "ordinal": o,
-                         "box": box})
-            rows.append((a, 1, o, label, "x", box))
-        expected.update({(a, o): c for o, c in greedy(page).items()})
-    typed = L.assign_sections(L.map_block_type(L.block_external_ids(blocks(spark, rows))))
-    linked = captions.link_captions(typed).filter("caption_external_id IS NOT NULL").collect()
-    assert {(r.artifact_id, r.ordinal): r.caption_external_id for r in linked} == expected
-    assert expected
+            rows.append((a, 1, o, rng.choice(labels), "x", (x, y, x + 50, y + 10)))
+    linked = _linked(spark, rows)
+    box = {(r.artifact_id, r.external_id): (r.x0, r.y0, r.x1, r.y1) for r in linked}
+    kind = {(r.artifact_id, r.external_id): captions.CAPTION_KIND.get(r.label, r.block_type) for r in linked}
+    pairs = [(r.artifact_id, r.external_id, r.caption_external_id) for r in linked if r.caption_external_id]
+    assert pairs and len({(a, c) for a, _, c in pairs}) == len(pairs)
+
+    def suits(a, target, caption):
+        t, c = box[a, target], box[a, caption]
+        if kind[a, target] != kind[a, caption] or t[0] >= c[2] or c[0] >= t[2]:
+            return None
+        return min(abs(t[3] - c[1]), abs(c[3] - t[1]))
+
+    free = [
+        (r.artifact_id, r.external_id) for r in linked
+        if r.caption_external_id is None and r.label not in captions.CAPTION_KIND
+    ]
+    for a, target, caption in pairs:
+        own = suits(a, target, caption)
+        assert own is not None
+        for b, other in free:
+            if a == b and suits(a, other, caption) is not None:
+                assert suits(a, other, caption) >= own
 
 
 def test_bad_boxes(spark):
@@ -220,6 +268,47 @@ def test_ocr_text_to_blocks(spark):
     assert quota.first().message == "output exceeds quota"
 
 
+def test_faulty_layout_files_are_refused(spark):
+    def line(*pages):
+        return json.dumps(
+            {"result": {"layoutParsingResults": [{"prunedResult": {"parsing_res_list": p}} for p in pages]}}
+        )
+
+    block = {"block_label": "text", "block_content": "x", "block_bbox": [0, 0, 1, 1]}
+    files = {
+        "good": (line([block], [block]) + "\n" + line([block]), None),
+        "no blocks": (line([]), None),
+        "broken line": (line([block]) + "\n{oops\n" + line([block]), "invalid page blocks"),
+        "other line": (line([block]) + '\n{"a": 1}', "invalid page blocks"),
+        "empty": ("", "no pages"),
+        "blank": (" \n \n", "no pages"),
+        "no object": (line([7, "x"]), "invalid page blocks"),
+        "no list": (line({"a": 1}), "invalid page blocks"),
+        "no label": (line([{**block, "block_label": None}]), "block without label"),
+        "bad box": (line([{**block, "block_bbox": [0, 0, 1]}]), "invalid bounding box"),
+    }
+    texts = spark.createDataFrame([(k, v[0]) for k, v in files.items()], "artifact_id STRING, value STRING")
+    built = audited_report_tables(pages_of(texts))
+    got = {r.unit_id: r.message for r in built.rejects.collect()}
+    assert got == {k: v[1] for k, v in files.items() if v[1]}
+    pages = sorted((r.artifact_id, r.page_no) for r in built.blocks.collect())
+    assert pages == [("good", 1), ("good", 2), ("good", 3)]
+    small = L.audit_layout_output(pages_of(texts.filter("artifact_id = 'good'")), max_bytes=50)[1]
+    assert [(r.message, int(r.offender)) for r in small.collect()] == [
+        ("output exceeds quota", len(files["good"][0]))
+    ]
+
+
+def test_layout_files_on_disk(spark, tmp_path):
+    text = '{"result": {"layoutParsingResults": [{"prunedResult": {"parsing_res_list": [{"block_label": "text"}]}}]}}\n'
+    (tmp_path / "a1.jsonl").write_text(text * 2)
+    (tmp_path / "b2.jsonl").write_text("{")
+    pages = read_layout_pages(spark, str(tmp_path))
+    assert {(r.artifact_id, r.page_no, r.n_bytes) for r in pages.collect()} == {
+        ("a1", 1, 2 * len(text)), ("a1", 2, 2 * len(text)), ("b2", 1, 1)
+    }
+
+
 def test_report_reruns_are_equal(spark, sf_dir):
     from checks import inputs
 
