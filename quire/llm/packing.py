@@ -24,7 +24,7 @@ from quire.session import materialize
 LIMIT = 4096
 END_ID = 1
 #: Entries after which a Python worker starts to remember anew; they hold no more than speed.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 

@@ -33,6 +33,8 @@ SEED = 42
 ATOM = 8
 #: Cost of writing, moving and sorting one probe key, in candidate comparisons.
 PROBE_COST = 40.0
+#: Rows of several buckets that are compared in one go.
+GATHERED = 1 << 15
 #: Rows of a block; fingerprints of a larger bucket are compared block by block.
 BLOCK = 1024
 
@@ -283,6 +285,8 @@ def near_links(
 
         for batch in batches:
             kept += zip(*(batch[c] for c in ("part", "key", "low", "high", "side", "fp")))
+            if len(kept) < GATHERED:
+                continue
             last = kept[-1][:4]
             cut = len(kept)
             while cut and kept[cut - 1][:4] == last:
