@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +35,76 @@ _SHAPE = str.maketrans(
     {**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{str(d): "0" for d in range(10)}}
 )
 _RUNS = re.compile(r"(.)\1+", re.S)
+_LETTERS = re.compile(r"[^\W\d_]")
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_DIGIT = re.compile(r"\d")
+#: Words a Python worker remembers the properties of; they hold no more than speed.
+REMEMBERED = 300_000
+
+
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_ENDS = ".,;:?"
+#: Shapes of lower-case and capitalised words with one such end or none.
+_SHAPES = {(t, e): _bucket(f"s {'Aa' if t else 'a'}{e}") for t in (False, True) for e in ("", *_ENDS)}
+
+
+class Lexicon:
+    """Numbers words as they are met, and keeps what labellers and features ask of each."""
+
+    COLUMNS = ("word", "shape", "letters", "capitals", "symbol", "common", "digit", "length")
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.COLUMNS)), np.int64)
+
+    def _properties(self, word: str) -> tuple[int, ...]:
+        end = "" if word[-1] not in _ENDS else word[-1]
+        core = word[:-1] if end else word
+        if core.isalpha() and (core.islower() or core[1:].islower()):  # most words, of any script
+            title = not core.islower()
+            lower = core.lower() if title else core
+            return (
+                _bucket(f"w {lower}{end}"),
+                _SHAPES[title, end],
+                len(core),
+                int(title),
+                False,
+                lower in _COMMON,
+                False,
+                len(word),
+            )
+        return (
+            _bucket(f"w {word.lower()}"),
+            _bucket("s " + _RUNS.sub(r"\1", word.translate(_SHAPE))),
+            len(_LETTERS.findall(word)),
+            len(_CAPITALS.findall(word)),
+            word[-1] in "#*$%&|<>!~^=@",
+            word.strip(".,;:!?\"'()").lower() in _COMMON,
+            _DIGIT.search(word) is not None,
+            len(word),
+        )
+
+    def number(self, words: list[str]) -> np.ndarray:
+        if len(self.numbers) > REMEMBERED:
+            self.__init__()
+        found = list(map(self.numbers.get, words))
+        if None in found:
+            new = list({w for w, n in zip(words, found) if n is None})
+            first = len(self.numbers)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = [self._properties(w) for w in new]
+            self.numbers.update(zip(new, range(first, first + len(new))))
+            found = list(map(self.numbers.__getitem__, words))
+        return np.array(found, np.int64)
+
+
+@lru_cache(maxsize=1)
+def lexicon() -> Lexicon:
+    return Lexicon()
 
 
 def _votes_below(value: float, good: float, bad: float) -> int:
@@ -44,38 +114,44 @@ def _votes_below(value: float, good: float, bad: float) -> int:
 
 @dataclass
 class Measures:
-    """What the labellers look at, from one pass over a text's words."""
+    """What the labellers look at, from one pass over a text's words, and the words' properties."""
 
     n: int
-    upper: float  # capitals among letters
-    symbols: float  # words that end in or are a symbol
-    common: float  # very common words among words
-    beside: float  # words equal to the word before
-    distinct: float  # distinct words among the words
-    length: float  # mean characters of a word
-    lines: float  # non-blank lines equal to an earlier one
-    digits: float  # words that hold a digit
+    upper: float = 0.0  # capitals among letters
+    symbols: float = 0.0  # words that end in or are a symbol
+    common: float = 0.0  # very common words among words
+    beside: float = 0.0  # words equal to the word before
+    distinct: float = 0.0  # distinct words among the words
+    length: float = 0.0  # mean characters of a word
+    lines: float = 0.0  # non-blank lines equal to an earlier one
+    digits: float = 0.0  # words that hold a digit
+    words: np.ndarray | None = None  # properties of each distinct word
+    counts: np.ndarray | None = None  # its number of places
 
     @classmethod
     def of(cls, text: str) -> Measures:
-        words = text.split()
-        n = len(words)
+        split = text.split()
+        n = len(split)
         if not n:
-            return cls(0, 0, 0, 0, 0, 0, 0, 0, 0)
-        letters = sum(map(len, re.findall(r"[^\W\d_]+", text))) or 1
-        capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-        lines = [x for x in text.split("\n") if not x.isspace() and x]
-        lowered = [w.strip(".,;:!?\"'()").lower() for w in words]
+            return cls(0)
+        known = lexicon()
+        numbers = known.number(split)
+        distinct, counts = np.unique(numbers, return_counts=True)
+        words = known.table[distinct]
+        total = dict(zip(Lexicon.COLUMNS, (counts @ words).tolist()))
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
         return cls(
             n,
-            capitals / letters,
-            sum(w[-1] in "#*$%&|<>!~^=@" for w in words) / n,
-            sum(w in _COMMON for w in lowered) / n,
-            sum(a == b for a, b in zip(words, words[1:])) / n,
-            len(set(words)) / n,
-            sum(map(len, words)) / n,
+            total["capitals"] / (total["letters"] or 1),
+            total["symbol"] / n,
+            total["common"] / n,
+            float((numbers[1:] == numbers[:-1]).sum()) / n,
+            len(distinct) / n,
+            total["length"] / n,
             1 - len(set(lines)) / len(lines),
-            sum(map(bool, re.findall(r"\S*\d\S*", text))) / n,
+            total["digit"] / n,
+            words,
+            counts,
         )
 
     def votes(self) -> tuple[int, ...]:
@@ -94,8 +170,9 @@ class Measures:
         )
 
     def bins(self) -> list[str]:
-        shares = ("upper", "symbols", "common", "beside", "distinct", "lines", "digits")
-        return [f"{name}:{int(getattr(self, name) * 10)}" for name in shares] + [f"length:{min(int(self.length), 20)}"]
+        return [f"{name}:{min(int(getattr(self, name) * 10), 10)}" for name in _BINNED] + [
+            f"length:{min(int(self.length), 20)}"
+        ]
 
 
 N_LABELLERS = 8
@@ -135,38 +212,38 @@ def fit_labellers(counts: dict[int, int]) -> dict[int, float]:
     return dict(zip(patterns.tolist(), posterior.tolist()))
 
 
-def features(text: str, measures: Measures) -> tuple[list[int], list[float]]:
+_BINNED = ("upper", "symbols", "common", "beside", "distinct", "lines", "digits")
+_BINS = {f"{name}:{i}": _bucket(f"{name}:{i}") for name in _BINNED for i in range(11)} | {
+    f"length:{i}": _bucket(f"length:{i}") for i in range(21)
+}
+
+
+def features(measures: Measures) -> tuple[np.ndarray, np.ndarray]:
     """Hashed buckets of words, word shapes and binned measures; values have unit length."""
-    words = text.split()
-    shapes = Counter(_RUNS.sub(r"\1", w.translate(_SHAPE)) for w in words)
-    tokens = Counter({f"s {k}": v for k, v in shapes.items()})
-    tokens.update({f"w {k}": v for k, v in Counter(w.lower() for w in words).items()})
-    total = max(len(words), 1)
-    values: dict[int, float] = {}
-    for token, n in tokens.items():
-        bucket = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
-        values[bucket] = values.get(bucket, 0.0) + (n / total) ** 0.5
-    for token in measures.bins():
-        bucket = zlib.crc32(token.encode()) % BUCKETS
-        values[bucket] = values.get(bucket, 0.0) + 1.0
-    size = sum(v * v for v in values.values()) ** 0.5
-    return list(values), [v / size for v in values.values()]
-
-
-def train(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
-    """Weights (the last one is the bias) of a logistic model for (buckets, values, posterior) rows."""
+    shapes, which = np.unique(measures.words[:, 1], return_inverse=True)
+    often = np.bincount(which, weights=measures.counts)
+    bins = [_BINS[b] for b in measures.bins()]
+    buckets = np.concatenate([measures.words[:, 0], shapes, bins]).astype(np.int64)
+    values = np.sqrt(np.concatenate([measures.counts, often]) / measures.n)
+    values = np.concatenate([values, np.ones(len(bins))])
+    return buckets, values / np.sqrt(values @ values)
+
+
+def train(sizes: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights (the last one is the bias) of a logistic model.
+
+    ``sizes`` tells how many of ``bucket`` and ``value`` belong to each row, ``target`` its posterior.
+    """
     weights = np.zeros(BUCKETS + 1)
-    if not rows:
+    n = len(target)
+    if not n:
         return weights
-    which = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    bucket = np.concatenate([np.array(r[0], int) for r in rows])
-    value = np.concatenate([np.array(r[1], float) for r in rows])
-    target = np.array([r[2] for r in rows])
+    which = np.repeat(np.arange(n, dtype=np.int32), sizes)
     speed = np.full(BUCKETS + 1, 1e-8)
     for _ in range(STEPS):
-        margin = np.bincount(which, weights=value * weights[bucket], minlength=len(rows)) + weights[-1]
+        margin = np.bincount(which, weights=value * weights[bucket], minlength=n) + weights[-1]
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
-        slope = np.append(np.bincount(bucket, weights=value * error[which], minlength=BUCKETS), error.sum()) / len(rows)
+        slope = np.append(np.bincount(bucket, weights=value * error[which], minlength=BUCKETS), error.sum()) / n
         slope[:-1] += 1e-5 * weights[:-1]
         speed += slope * slope
         weights -= 0.5 * slope / np.sqrt(speed)
@@ -198,16 +275,23 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            measured = [Measures.of(t) for t in batch["text"]]
-            found = [features(t, m) for t, m in zip(batch["text"], measured)]
+            measured = [m for m in map(Measures.of, batch["text"]) if m.n]
+            found = [features(m) for m in measured]
             yield {
                 "pattern": [pattern_of(m.votes()) for m in measured],
                 "bucket": [f[0] for f in found],
                 "value": [f[1] for f in found],
             }
 
-    seen = map_rows(sample.select("text"), rows, "pattern int, bucket array<int>, value array<float>").collect()
-    return train([(r["bucket"], r["value"], posterior[r["pattern"]]) for r in seen])
+    # Columns of numbers, not rows of objects: a few dozen bytes for each word of the sample.
+    seen = map_rows(sample.select("text"), rows, "pattern int, bucket array<int>, value array<float>").toArrow()
+    buckets, values = (seen.column(c).combine_chunks() for c in ("bucket", "value"))
+    return train(
+        np.diff(buckets.offsets.to_numpy()),
+        buckets.flatten().to_numpy(),
+        values.flatten().to_numpy(),
+        np.array([posterior[p] for p in seen.column("pattern").to_pylist()]),
+    )
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -230,8 +314,8 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 if not measures.n:
                     out.append(0.0)
                     continue
-                bucket, value = features(text, measures)
-                margin = float(np.dot(dense[bucket], value)) + dense[-1]
+                bucket, value = features(measures)
+                margin = float(dense[bucket] @ value) + dense[-1]
                 out.append(1 / (1 + np.exp(-min(max(margin, -30.0), 30.0))))
             yield pd.Series(out, dtype="float64")
 
