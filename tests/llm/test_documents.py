@@ -211,6 +211,48 @@ def test_deduplicated_keeps_one_of_each_group(tricky, spark):
     assert simhash.deduplicated(tricky).columns == tricky.columns
 
 
+@pytest.mark.parametrize("block, nearest", [(4, 1), (1024, 4)])
+def test_deduplicated_finds_every_similar_pair(spark, monkeypatch, block, nearest):
+    """Separately edited copies are alike to their original alone, whichever ids the two have."""
+    for name, value in (("BLOCK", block), ("NEAREST", nearest), ("COMMON", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(3)
+    texts = []
+    for group in range(4):
+        original = [f"g{group}w{i}" for i in range(160)]
+        copies = []
+        for c in range(30):
+            edited = list(original)
+            for at in rng.choice(150, 2 + group % 2, replace=False):
+                edited[at] = f"e{c}x{at}"
+            copies.append(" ".join(edited))
+        texts += [*copies, " ".join(original)] if group % 2 else [" ".join(original), *copies]
+    texts += [" ".join(f"g0w{i}" for i in range(k)) for k in (3, 4, 5, 6, 100, 127, 129)]
+    texts = list(dict.fromkeys(texts))
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if simhash.similarity(texts[i], texts[j]) >= simhash.SIMILAR}
+    assert any((i, i + 1) not in alike for i in range(1, 30))  # copies fail against each other
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert not any(i in kept and j in kept for i, j in alike)
+    assert kept == {i for i in range(len(texts)) if root[i] == i}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, n // 12).astype(np.uint64)])
+        common = np.sort(rng.choice(a, len(a) // 2, replace=False))
+        rank = rng.permutation(len(common))
+        if len(b) and len(np.intersect1d(a, b)) >= simhash.SIMILAR * len(np.union1d(a, b)):
+            assert len(np.intersect1d(*(simhash.prefix(x, common, rank) for x in (a, b))))
+
+
 def test_similarity():
     assert simhash.similarity("a b c d e f", "A B C D E F") == 1 and simhash.similarity("", " ") == 1
     assert simhash.similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
