@@ -1,7 +1,7 @@
 """License scans by a positional index of rare words.
 
-Templates (licence notices) are indexed by word and position. A document looks up its licence words
-of highest inverse document frequency; template postings vote for (template, relative position), and
+Templates (licence notices) are indexed by position of their words of highest inverse document frequency.
+A document looks up all its indexed words; template postings vote for (template, relative position), and
 a vote of enough words in line, together with the template's mandatory phrases, is a finding.
 Everything happens within the document's row; only document frequencies are gathered.
 """
@@ -77,8 +77,8 @@ TEMPLATES = {
     "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered"]),
 }
 
-#: Licence words of highest IDF that a document looks up.
-LOOKED_UP = 12
+#: Words of highest IDF that a template is indexed by.
+INDEXED = 12
 #: A word of more than this share of all documents is no rare word.
 MOST_COMMON = 0.2
 #: Share of a template's rare words that must stand in line.
@@ -143,7 +143,7 @@ class Index:
         self.rare: list[int] = []
         for t, (notice, _) in enumerate(TEMPLATES.values()):
             words = _words(notice)
-            best = sorted({w for w in words if w in self.idf}, key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
+            best = sorted({w for w in words if w in self.idf}, key=lambda w: (-self.idf[w], w))[:INDEXED]
             for at, w in enumerate(words):
                 if w in best:
                     # template and place in one number; a document's place is subtracted from it
@@ -154,13 +154,12 @@ class Index:
 
 
 def _votes(norm: Column, index: Index) -> Column:
-    """Sorted array of template-and-offset votes of the document's licence words of highest IDF."""
-    ranked = sorted(index.idf, key=lambda w: (-index.idf[w], w))
+    """Sorted array of template-and-offset votes of all indexed words of the document."""
+    ranked = [w for w in VOCABULARY if index.postings.get(w)]
     postings = F.create_map(*(x for w in ranked for x in (F.lit(w), F.array(*map(F.lit, index.postings[w])).cast("array<bigint>"))))
 
     def votes(words: Column) -> Column:
-        # The array literal is in order of IDF, and so is what it shares with the text.
-        looked_up = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), words), 1, LOOKED_UP)
+        looked_up = F.array_intersect(F.array(*map(F.lit, ranked)), words)
 
         def of(best: Column) -> Column:
             placed = F.transform(words, lambda w, i: F.when(F.array_contains(best, w), F.struct(w.alias("w"), i.alias("i"))))

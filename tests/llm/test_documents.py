@@ -128,6 +128,25 @@ def test_license_notices_are_found(spark):
     assert got[0].findings[0].offset == 2
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    """Notices do not compete for words, neither with each other nor with the text around them."""
+    names = ("bsd", "mit-text", "isc", "apache-2.0", "mpl-2.0", "unlicense")
+    notices = {k: licenses.TEMPLATES[k][0] for k in names}
+    around = "A person whose source of forms and conditions met a charge, and any copy or file of the work. " * 200
+    texts = [
+        f"{notices['bsd']}. {notices['mit-text']}.",
+        ". ".join(notices.values()),
+        around + ". ".join(notices.values()) + ". " + around,
+    ]
+    plain = [f"nothing here number{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scanned(docs).collect()}
+    assert {"bsd", "mit-text"} <= {f.label for f in got[0].findings}
+    for i in (1, 2):
+        assert set(names) <= {f.label for f in got[i].findings} and got[i].score == 1
+    assert not any(got[i].labels for i in range(3, 63))
+
+
 def test_rule_counts(docs):
     got = rows_of(
         rules.judged(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
