@@ -79,8 +79,6 @@ TEMPLATES = {
 
 #: Words of highest IDF that a template is indexed by.
 INDEXED = 12
-#: A word of more than this share of all documents is no rare word.
-MOST_COMMON = 0.2
 #: Share of a template's rare words that must stand in line.
 LEAST_VOTES = 0.6
 
@@ -133,17 +131,14 @@ class Index:
     """Postings of the templates' rare words, given the corpus's document frequencies."""
 
     def __init__(self, n: int, frequencies: dict[str, int]) -> None:
-        self.idf = {
-            w: math.log((n + 1) / (frequencies.get(w, 0) + 1))
-            for w in VOCABULARY
-            if frequencies.get(w, 0) <= max(MOST_COMMON * n, 1)
-        }
+        # However common a notice is, its rarest words stay indexed.
+        self.idf = {w: math.log((n + 1) / (frequencies.get(w, 0) + 1)) for w in VOCABULARY}
         self.postings: dict[str, list[int]] = {w: [] for w in self.idf}
         self.needed: list[int] = []
         self.rare: list[int] = []
         for t, (notice, _) in enumerate(TEMPLATES.values()):
             words = _words(notice)
-            best = sorted({w for w in words if w in self.idf}, key=lambda w: (-self.idf[w], w))[:INDEXED]
+            best = sorted(set(words), key=lambda w: (-self.idf[w], w))[:INDEXED]
             for at, w in enumerate(words):
                 if w in best:
                     # template and place in one number; a document's place is subtracted from it

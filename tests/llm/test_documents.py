@@ -147,6 +147,18 @@ def test_every_notice_of_a_text_is_found(spark):
     assert not any(got[i].labels for i in range(3, 63))
 
 
+@pytest.mark.parametrize("share", [0.35, 1.0])
+def test_common_notices_are_found(spark, share):
+    """A notice in a third or all of the documents is a finding like a rare one."""
+    n = 20
+    for label in ("apache-2.0", "mit", "gpl-3.0", "cc-by-4.0"):
+        notice = licenses.TEMPLATES[label][0]
+        texts = [f"text{i} {notice} end" if i < share * n else f"text{i} alone" for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        found = {r.doc_id for r in licenses.scanned(docs).collect() if label in {f.label for f in r.findings} and r.score == 1}
+        assert found == {i for i in range(n) if i < share * n}
+
+
 def test_rule_counts(docs):
     got = rows_of(
         rules.judged(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
