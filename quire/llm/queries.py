@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, html_text, licenses, mixing, packing, pii, quality, rules, simhash, topk
+from quire.llm import chat, codes, html_text, infill, licenses, mixing, packing, pii, quality, rules, simhash, topk
 from quire.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,31 @@ def op9_divergence_rules(spark: SparkSession, directory: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, directory))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register(infill.SQL)
+def op11_sparse_index_infill(spark: SparkSession, directory: str) -> DataFrame:
+    out = infill.infilled(documents(spark, directory))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@register(codes.SQL)
+def op13_hilbert_block_codes(spark: SparkSession, directory: str) -> DataFrame:
+    rows = spark.read.parquet(f"{directory}/embeddings.parquet").where(topk.usable(F.col("embedding")))
+    code = topk.quantized(F.col("embedding"), codes.SCALE).alias("code")
+    done = codes.compressed(rows.select("vec_id", "label", code))
+    return codes.with_label_error(done.codes).select(
+        "vec_id",
+        codes.hexadecimal(F.col("entries")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(done.digest()).alias("codebooks_sha256"),
+    )
