@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, codes, html_text, infill, licenses, mixing, packing, pii, quality, rules, simhash, topk
+from quire.llm import (
+    chat,
+    codes,
+    html_text,
+    infill,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality,
+    rules,
+    simhash,
+    topk,
+    toxicity,
+)
 from quire.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +157,9 @@ def op13_hilbert_block_codes(spark: SparkSession, directory: str) -> DataFrame:
         "label_error",
         F.lit(done.digest()).alias("codebooks_sha256"),
     )
+
+
+@register()
+def op12_pairwise_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = documents(spark, directory)
+    return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{directory}/labels.parquet")))
