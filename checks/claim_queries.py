@@ -11,8 +11,8 @@ from quire.operators import claims as C
 from quire.operators import layout as L
 from quire.plans import claims as plan
 from quire.session import materialize, scratch_folder
-from quire.sources.sinks import claim_rows, write_bucketed
-from quire.sources.tables import read_table
+from quire.sources.sinks import claim_rows
+from quire.sources.store import Part, Store
 
 LIMIT = I.CLAIM_BATCH_CHARS
 
@@ -206,10 +206,10 @@ def write_claim_table(spark, d):
     """Claims written as their declared table with its defaults, and read back."""
     batched = materialize(I.batched_candidates(spark, d, LIMIT))
     resolved, _ = C.resolve_claim_references(_claims_of(batched, faulty=False), batched)
-    folder = scratch_folder(spark)
+    store = Store(spark, scratch_folder(spark))
     rows = claim_rows(resolved.withColumn("submission_id", F.col("artifact_id")))
-    write_bucketed(rows, folder, "claims", "submission_id", 8)
-    return read_table(spark, folder, "claims").select(
+    store.write([Part("claims", rows, "submission_id")])
+    return store.read("claims").select(
         "submission_id",
         "source_block_id",
         "claim_type",

@@ -12,8 +12,8 @@ from quire.operators import layout as L
 from quire.plans import report
 from quire.session import scratch_folder
 from quire.sources.layout import blocks_of, pages_of
-from quire.sources.sinks import block_rows, section_rows, write_bucketed
-from quire.sources.tables import read_table
+from quire.sources.sinks import block_rows, section_rows
+from quire.sources.store import Part, Store
 
 @register("""
     SELECT o.artifact_id, o.ordinal::BIGINT AS section_ordinal, o.title, o.level::BIGINT AS level,
@@ -387,11 +387,14 @@ def write_document_tables(spark, d):
     """Sections and blocks written as tables, read back and joined on their table ids."""
     built = report.build_report_tables(I.layout_blocks(spark, d))
     out = scratch_folder(spark)
-    write_bucketed(section_rows(built.sections), out, "document_sections", "artifact_id", 8)
-    rows = block_rows(built.blocks, "layout-1")
-    write_bucketed(rows, out, "document_blocks", "artifact_id", 8)
-    blocks = read_table(spark, out, "document_blocks")
-    sections = read_table(spark, out, "document_sections")
+    store = Store(spark, out)
+    store.write(
+        [
+            Part("document_sections", section_rows(built.sections), "artifact_id"),
+            Part("document_blocks", block_rows(built.blocks, "layout-1"), "artifact_id"),
+        ]
+    )
+    blocks, sections = store.read("document_blocks"), store.read("document_sections")
     levels = sections.select(F.col("id").alias("section_id"), F.col("level").alias("section_level"))
     return blocks.join(levels, "section_id", "left").select(
         "artifact_id",
