@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from uuid import uuid4
@@ -71,3 +71,12 @@ def materialize(df: DataFrame) -> DataFrame:
     table = f"{scratch_folder(df.sparkSession)}/rows"
     df.write.parquet(table)
     return df.sparkSession.read.schema(df.schema).parquet(table)
+
+
+def materialize_alone(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build`` as a written table; the scratch tables made for it are removed."""
+    table = f"{scratch_folder(spark)}/rows"
+    with scratch_scope(spark):
+        df = build()
+        df.write.parquet(table)
+    return spark.read.schema(df.schema).parquet(table)
