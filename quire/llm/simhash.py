@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import xxhash
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import lookup_join, map_rows, prepare
 from quire.llm.components import connected_components
-from quire.session import materialize
+from quire.llm.similar import SIMILAR, WORDS, similar_roots
+from quire.session import materialize, materialize_alone
 
 BITS = 64
 #: Differing bits up to which fingerprints are linked.
@@ -316,185 +317,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) ->
 
 # --- whole documents ----------------------------------------------------------------------------
 
-#: Of the pipeline's stage: words of a shingle and Jaccard similarity from which texts are near duplicates.
-WORDS, SIMILAR = 5, 0.8
-#: Texts whose shingles are counted to learn the common ones, how many of them make a shingle common, and
-#: how many common ones are remembered. They set an order of shingles, so the cost, never the result.
-SAMPLED, COMMON, REMEMBERED = 10_000, 4, 50_000
-#: Nearest texts of its cell that a text is compared with in the first round; times ``MORE`` with every round.
-NEAREST, MORE = 4, 4
-#: Distances of a cell that are held at a time.
-HELD = 1 << 19
-
-
-def _shingles(text: str, words: int) -> set[bytes]:
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-
-
-def similarity(a: str, b: str, words: int = WORDS) -> float:
-    """Jaccard similarity of the sets of word shingles; two texts without a word are alike."""
-    x, y = _shingles(a, words), _shingles(b, words)
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    found = _shingles(text, words)
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), found), np.uint64, len(found)))
-
-
-def _sketch(hashes: np.ndarray) -> int:
-    """SimHash of a set of hashes; it ranks candidates and decides nothing."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
-    """The first hashes of a set in one order of all: common ones (sorted; by ``rank``) after the others.
-
-    Sets of similarity ``similar`` share that part of the larger one at least, so if a set leaves out
-    fewer than this many of its last hashes, two such sets meet in what they have left.
-    """
-    n = len(hashes)
-    k = n - ceil(similar * n - 1e-9) + 1
-    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-    known = common[at] == hashes if len(common) else np.zeros(n, bool)
-    rare = hashes[~known][:k]
-    if len(rare) == k:
-        return rare
-    return np.r_[rare, hashes[known][np.argsort(rank[at[known]], kind="stable")][: k - len(rare)]]
-
-
-def common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles most frequent in a sample of the texts, and the rank of each, rare first."""
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            yield {"h": np.concatenate([shingle_hashes(t or "", words) for t in batch["text"]]).view(np.int64)}
-
-    sample = texts.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
-    counted = map_rows(sample, rows, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON)
-    top = counted.orderBy(F.desc("count"), "h").limit(REMEMBERED).select("h").toArrow()
-    hashes = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - 1 - np.arange(len(hashes)))[order]
-
-
-def _proposals(
-    cell: np.ndarray, side: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarray, lo: int, hi: int, similar: float
-) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of unlike roots, each row with its ``lo``-th to ``hi``-th nearest, and if more are left."""
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    counts = np.diff(np.r_[starts, len(cell)])
-    start, count = np.repeat(starts, counts), np.repeat(counts, counts)
-    mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), counts)
-    found, more = [], False
-    for n in np.unique(count[mixed]):
-        those = np.flatnonzero(mixed & (count == n))
-        for i in np.array_split(those, -(-len(those) * n // HELD)):
-            j = start[i][:, None] + np.arange(n)
-            mine, other = size[i][:, None], size[j]
-            fits = np.minimum(mine, other) >= similar * np.maximum(mine, other) - 1e-9
-            fits &= (j != i[:, None]) & ((side[j] == 0) | (side[j] != side[i][:, None]))
-            far = np.where(fits, np.bitwise_count(fp[j] ^ fp[i][:, None]), np.uint8(255)).astype(np.uint8)
-            order = np.argsort(far, axis=1, kind="stable")
-            open_ = np.take_along_axis(fits & (root[j] != root[i][:, None]), order, axis=1)
-            more |= bool(open_[:, hi:].any())
-            a, k = np.nonzero(open_[:, lo:hi])
-            found.append((i[a], j[a, order[a, k + lo]]))
-    if not found:
-        return starts[:0], starts[:0], False
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return a, b, more
-
-
-def similar_roots(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """``node, root`` of the components of all pairs of ``texts(id, digest, text)`` that are ``similar``.
-
-    Similar texts share a shingle of their prefixes, so texts meet in buckets of equal prefix shingles.
-    First each is compared with the smallest id of its buckets, then, in rounds, with ever more of the
-    texts of other components there, nearest sketches first, until no bucket has a pair left.
-    """
-    common, rank = common_shingles(texts, texts.count(), words)
-
-    def emitted(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [shingle_hashes(t or "", words) for t in batch["text"]]
-            keys = [prefix(s, common, rank, similar) if len(s) else s for s in sets]
-            n = list(map(len, keys))
-            yield {
-                "key": np.concatenate(keys).view(np.int64),
-                "node": np.repeat(np.array(batch["id"], np.int64), n),
-                "size": np.repeat(np.array(list(map(len, sets)), np.int64), n),
-                "fp": np.repeat(np.array(list(map(_sketch, sets)), np.uint64).view(np.int64), n),
-            }
-
-    keys = materialize(map_rows(texts.select("id", "text"), emitted, "key bigint, node bigint, size bigint, fp bigint"))
-    one = F.struct("node", "size")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("count"), F.min(one).alias("x"), F.max(one).alias("y"))
-    buckets = materialize(buckets.where("x.node <> y.node"))
-    shared = materialize(lookup_join(keys, buckets.where("count > 2").select("key", "count", "x"), ["key"], "inner"))
-    fits = F.least("x.size", "y.size") >= similar * F.greatest("x.size", "y.size") - 1e-9
-    twos = buckets.where("count = 2").select("x", "y").where(fits)
-    stars = shared.select("x", one.alias("y")).where(fits)
-    proposed = twos.union(stars).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).where("x <> y").distinct()
-    proposed = materialize(proposed)
-
-    involved = twos.select(F.explode(F.array("x.node", "y.node")).alias("id")).union(shared.select("node")).distinct()
-    bodies = materialize(lookup_join(texts, materialize(involved), ["id"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-
-    def verify(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            linked = [
-                (x, y)
-                for x, y, s, t in zip(batch["x"], batch["y"], batch["s"], batch["t"])
-                if similarity(s or "", t or "", words) >= similar
-            ]
-            yield {"a": [x for x, _ in linked], "b": [y for _, y in linked]}
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(
-            bodies.select(F.col("id").alias("y"), F.col("text").alias("t")), "y"
-        )
-        return materialize(map_rows(both.select("x", "y", "s", "t"), verify, "a bigint, b bigint"))
-
-    links, tried = verified(proposed), proposed
-    roots = materialize(connected_components(links))
-    cell = ["key", "low", "high"]
-    lo, hi = 0, NEAREST
-    while True:
-        named = shared.drop("x").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = materialize(named)
-        mixed = materialize(named.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key"))
-        if mixed.isEmpty():
-            return roots
-        left = _cells(lookup_join(named, mixed, ["key"], "left_semi"), "node")
-        dealt = left.repartition(*cell).sortWithinPartitions(*cell, "node")
-
-        def rows(batches: Iterator[dict], lo: int = lo, hi: int = hi) -> Iterator[dict]:
-            for part in _whole_cells(batches, (*cell, "side", "node", "fp", "size", "root"), 3):
-                x = np.array(part, np.int64).reshape(-1, 8)
-                new = np.r_[True, (x[1:, :3] != x[:-1, :3]).any(axis=1)]
-                a, b, more = _proposals(
-                    np.cumsum(new), x[:, 3], x[:, 5].copy().view(np.uint64), x[:, 6], x[:, 7], lo, hi, similar
-                )
-                pairs = np.unique(np.sort(np.stack([x[a, 4], x[b, 4]], axis=1), axis=1), axis=0)
-                # a pair of nulls says that a later round has something to try
-                yield {"x": [*pairs[:, 0].tolist(), *[None] * more], "y": [*pairs[:, 1].tolist(), *[None] * more]}
-
-        found = materialize(map_rows(dealt, rows, "x bigint, y bigint").distinct())
-        fresh = materialize(found.where("x IS NOT NULL").join(tried, ["x", "y"], "left_anti"))
-        if not fresh.isEmpty():
-            links, tried = links.union(verified(fresh)), tried.union(fresh)
-            roots = materialize(connected_components(links))
-        if found.where("x IS NULL").isEmpty():
-            return roots
-        lo, hi = hi, hi * MORE
-
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one document, that of smallest id, of each group of near duplicates.
@@ -504,7 +326,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR)
     two documents. A text without a word equals any other without one. Of rows that share the kept
     id and text one stays; null ids come last. All columns of ``docs`` pass through. No rows give no rows.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0
     digest = F.md5(F.when(blank, F.lit("")).otherwise(F.col("text"))).alias("_digest")
     # Null ids get a number of their own for each text, above all others.
@@ -519,13 +341,17 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR)
         nodes.where("ids > 1").select("_digest"), "_digest", "left_semi"
     )
     copies = materialize(copies.select(*key))
-    texts = lookup_join(keyed, copies, key, "left_anti")
-    roots = similar_roots(texts.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), "text"), words, similar)
-    lost = roots.where("node <> root").select(F.col("node").alias("_id"))
-    kept = nodes.join(lost, "_id", "left_anti").select(*key)
+    repeated = materialize(rows_of.where("count > 1").select(*key))
+
+    def one_row_each(rows: DataFrame) -> DataFrame:
+        once = lookup_join(rows, repeated, key, "left_anti")
+        return once.union(lookup_join(rows, repeated, key, "left_semi").dropDuplicates(key))
+
+    def lost() -> DataFrame:
+        texts = one_row_each(lookup_join(keyed, copies, key, "left_anti"))
+        texts = texts.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), "text")
+        return similar_roots(texts, words, similar).where("node <> root").select(F.col("node").alias("_id"))
+
+    kept = nodes.join(materialize_alone(spark, lost), "_id", "left_anti").select(*key)
     gone = materialize(rows_of.join(kept, key, "left_anti").select(*key))
-    repeated = materialize(rows_of.where("count > 1").join(kept, key, "left_semi").select(*key))
-    left = lookup_join(keyed, gone, key, "left_anti")
-    once = lookup_join(left, repeated, key, "left_anti")
-    again = lookup_join(left, repeated, key, "left_semi").dropDuplicates(key)
-    return once.union(again).select(*docs.columns)
+    return one_row_each(lookup_join(keyed, gone, key, "left_anti")).select(*docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import licenses, mixing, packing, pii, quality, rules, simhash
+from quire.llm import licenses, mixing, packing, pii, quality, rules, simhash, similar
 from quire.llm.queries import QUERIES, vocabulary
 
 from . import brute
@@ -242,11 +242,11 @@ def test_deduplicated_keeps_one_of_each_group(tricky, spark):
     assert simhash.deduplicated(tricky).columns == tricky.columns
 
 
-@pytest.mark.parametrize("block, nearest", [(4, 1), (1024, 4)])
-def test_deduplicated_finds_every_similar_pair(spark, monkeypatch, block, nearest):
+@pytest.mark.parametrize("block, first, beside", [(4, 1, 2), (1024, 4, 64)])
+def test_deduplicated_finds_every_similar_pair(spark, monkeypatch, block, first, beside):
     """Separately edited copies are alike to their original alone, whichever ids the two have."""
-    for name, value in (("BLOCK", block), ("NEAREST", nearest), ("COMMON", 2)):
-        monkeypatch.setattr(simhash, name, value)
+    for name, value in (("BLOCK", block), ("FIRST", first), ("COMMON", 2), ("BESIDE", beside), ("HELD", 1 << 12)):
+        monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(3)
     texts = []
     for group in range(4):
@@ -260,7 +260,7 @@ def test_deduplicated_finds_every_similar_pair(spark, monkeypatch, block, neares
         texts += [*copies, " ".join(original)] if group % 2 else [" ".join(original), *copies]
     texts += [" ".join(f"g0w{i}" for i in range(k)) for k in (3, 4, 5, 6, 100, 127, 129)]
     texts = list(dict.fromkeys(texts))
-    alike = {(i, j) for j in range(len(texts)) for i in range(j) if simhash.similarity(texts[i], texts[j]) >= simhash.SIMILAR}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if similar.similarity(texts[i], texts[j]) >= similar.SIMILAR}
     assert any((i, i + 1) not in alike for i in range(1, 30))  # copies fail against each other
     root = list(range(len(texts)))
     for _ in texts:
@@ -280,13 +280,34 @@ def test_prefixes_of_similar_sets_meet():
         b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, n // 12).astype(np.uint64)])
         common = np.sort(rng.choice(a, len(a) // 2, replace=False))
         rank = rng.permutation(len(common))
-        if len(b) and len(np.intersect1d(a, b)) >= simhash.SIMILAR * len(np.union1d(a, b)):
-            assert len(np.intersect1d(*(simhash.prefix(x, common, rank) for x in (a, b))))
+        if len(b) and len(np.intersect1d(a, b)) >= similar.SIMILAR * len(np.union1d(a, b)):
+            assert len(np.intersect1d(*(similar.prefix(x, common, rank) for x in (a, b))))
+
+
+def test_hashes_count_what_shingles_count():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        text = " ".join(rng.choice(["a", "B", "b", "cc", "é"], int(rng.integers(0, 40))))
+        found = similar.shingle_hashes(text)
+        assert len(found) == len(similar._shingles(text, 5)) and (found[1:] > found[:-1]).all()
+    assert len({similar.shingle_hashes(t).tobytes() for t in ("a b", "b a", "a b a", "a a", "a", "ab")}) == 6
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(1, 90))).astype(np.uint64)])
+        x, y = similar.parity_sketch(a), similar.parity_sketch(b)
+        width = min(len(x), len(y))
+        far = int(np.bitwise_count(similar.folded(x, width) ^ similar.folded(y, width)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert far <= apart and (far - apart) % 2 == 0 and len(x) * 8 >= 2 * len(a)
 
 
 def test_similarity():
-    assert simhash.similarity("a b c d e f", "A B C D E F") == 1 and simhash.similarity("", " ") == 1
-    assert simhash.similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
+    assert similar.similarity("a b c d e f", "A B C D E F") == 1 and similar.similarity("", " ") == 1
+    assert similar.similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
 
 
 def test_mixing_counts_and_rates(tricky):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import mixing, packing, quality, simhash
+from quire.llm import mixing, packing, quality, similar
 
 from . import brute
 
@@ -17,15 +17,6 @@ def pairs(df) -> Counter:
     return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
 
-def kept_texts(rows: list[tuple]) -> Counter:
-    """Leader by leader, over all pairs that the fingerprints propose: one of each group."""
-    texts = sorted({(d, t) for d, t in rows})
-    first = {}
-    for d, t in texts:
-        first.setdefault(t, d)
-    return first
-
-
 def test_stages_follow_one_another(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     results = {}
@@ -50,10 +41,16 @@ def test_stages_follow_one_another(spark, sf_dir, tmp_path):
         # What is gone has a kept text, or one that is gone too, as its near duplicate of smaller id.
         if (doc_id, text) not in has:
             assert kept.get(text, doc_id + 1) < doc_id or any(
-                simhash.similarity(text, t) >= simhash.SIMILAR for d, t in had if t != text
+                similar.similarity(text, t) >= similar.SIMILAR for d, t in had if t != text
             )
     for d, t in has:
         assert not any(d2 < d and t2 == t for d2, t2 in had)
+    # No two kept texts are near duplicates: all pairs, by brute force.
+    sets = [similar._shingles(t or "", similar.WORDS) for t in kept]
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            least, most = sorted((len(a), len(b)))
+            assert least < similar.SIMILAR * most or len(a & b) < similar.SIMILAR * len(a | b)
 
     before, after = results["personal_data"]
     source = {r.doc_id: r for r in before.collect()}
