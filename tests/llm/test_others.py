@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -61,6 +62,109 @@ def test_pages_of_the_table(spark, sf_dir):
         assert got[r.page_id] == (text, len(text))
 
 
+LONG = "Some longer text that is the content of this page and goes on for a while. "
+
+
+def around(block: str) -> str:
+    return f"<body><nav><a>x</a></nav><article><h1>T</h1><p>{LONG * 3}</p>{block}<p>{LONG * 2}</p></article><footer>f</footer>"
+
+
+@pytest.mark.parametrize(
+    "block, text",
+    [
+        ('<section id="related-work"><h2>Related work</h2><p>Seen.</p></section>', "Related work\n\nSeen."),
+        ('<section id="discussion"><p>Seen.</p></section>', "Seen."),
+        ('<div id="social-effects"><p>Seen.</p></div>', "Seen."),
+        ('<section id="search"><h2><b>Search</b></h2><p>Seen.</p></section>', "Search\n\nSeen."),
+        ('<h2 id="search-methods">Seen</h2>', "Seen"),
+        ('<h2 id="menu">Menu</h2>', "Menu"),
+        ('<h2 class="ad-hoc">Seen</h2>', "Seen"),
+        ('<p class="lead notice-board">Seen</p>', "Seen"),
+        ("<p>a <span hidden>no</span> b</p>", "a b"),
+        ("<p>a<button>no</button> b</p>", "a b"),
+        ("<p>a <label>no</label> b</p>", "a b"),
+        ('<p>a <span class="ad">no</span> b</p>', "a b"),
+        ('<p>a <a class="share" href=x>no</a> b</p>', "a b"),
+        ('<div class="cookieNotice">no</div>', ""),
+        ('<div class="social-share-buttons">no</div>', ""),
+        ('<div id="sidebar-left"><p>no</div>', ""),
+        ('<section class="related-posts"><h2>no</h2></section>', ""),
+        ('<div id="comments"><h2>Comments</h2><p>no</p></div>', ""),
+    ],
+)
+def test_parts_by_whole_names(block, text):
+    want = [f"T\n\n{(LONG * 3).strip()}", text, (LONG * 2).strip()]
+    assert html_text.main_text(around(block)) == "\n\n".join(x for x in want if x)
+
+
+def test_a_part_that_is_all_there_is():
+    page = f"<div class=widget><p>{LONG * 5}</p><p>{LONG * 4}</p></div><div>k</div>"
+    assert html_text.main_text(page) == f"{(LONG * 5).strip()}\n\n{(LONG * 4).strip()}"
+
+
+def test_head_that_is_not_closed():
+    assert html_text.main_text(f"<html><head><title>t</title><body><p>{LONG}") == LONG.strip()
+    assert html_text.main_text(f"<head><title>t</title><p>{LONG}") == LONG.strip()
+
+
+def made_page(rng: random.Random) -> tuple[str, str]:
+    """A page and its main text: blocks of an article among parts that are none, inline ones too."""
+    words = "the of stone river house quiet green letter winter morning paper garden bridge".split()
+
+    def prose(n: int) -> str:
+        return " ".join(rng.choices(words, k=n)).capitalize() + "."
+
+    inline = ["", "", ' <span class="ad">buy now</span>', " <span hidden>secret</span>", ' <a class="share" href=#>Share</a>', " <button>Go</button>"]
+    blocks, text = [], []
+    for i in range(rng.randint(3, 9)):
+        body, kind = prose(rng.randint(15, 60)), rng.choice(["p", "p", "p", "li", "section", "h2"])
+        if kind == "h2":
+            title = rng.choice(["Related work", "Discussion", "Search methods", "Social effects", "Notices"])
+            blocks.append(f'<h2 id="{title.lower().replace(" ", "-")}">{title}</h2>')
+            text.append(title)
+        elif kind == "section":
+            title = rng.choice(["Discussion", "Related work", "Overview", "Sharing"])
+            blocks.append(f'<section id="{title.lower().replace(" ", "-")}"><h3>{title}</h3><p>{body}</p></section>')
+            text += [title, body]
+        elif kind == "li":
+            blocks.append(f"<ul><li>{body}{rng.choice(inline)}</li></ul>")
+            text.append(body)
+        else:
+            blocks.append(f"<p>{body}{rng.choice(inline)}</p>")
+            text.append(body)
+        if rng.random() < 0.3:
+            blocks.append(rng.choice(['<aside><p>See also this</p></aside>', '<div class="ad-slot"><p>Cheap shoes</p></div>', "<form><input><p>Your mail</p></form>"]))
+    inside = "".join(blocks)
+    wrap = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", '<div class="content"><div>{}</div></div>', "<div>{}</div>"])
+    menu = "".join(f"<li><a href=#>{rng.choice(words)}</a></li>" for _ in range(rng.randint(3, 12)))
+    comments = '<section id="comments"><article class="comment"><p>' + prose(40) + "</p></article></section>" * (rng.random() < 0.5)
+    notice = f'<div class="cookie-banner"><p>{prose(25)}</p></div>' * (rng.random() < 0.5)
+    return (
+        f"<html><head><title>x</title></head><body><header><p>Site</p></header><nav><ul>{menu}</ul></nav>{notice}"
+        f"{wrap.format(inside)}{comments}<footer><p>All rights</p></footer></body></html>",
+        "\n\n".join(text),
+    )
+
+
+def test_made_pages():
+    rng = random.Random(12)
+    for _ in range(400):
+        page, text = made_page(rng)
+        assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div><p>short text here</p>" * 3000, "<b>" * 4000 + "<p>some text</p>" * 1000, "<article>" * 3000 + "x", "<div>" * 20_000 + "x",
+     "<div class=ad>" * 5000 + "<article>" + LONG],
+    ids=["paragraphs", "bold", "articles", "deep", "adverts"],
+)
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    assert html_text.main_text(page)
+    assert time.process_time() - began < 1
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None, "a"), (1, "u", "", "b"), (None, "u", PAGE, "c"), (2, "u", "<p>" + "word " * 300_000, "d"), (2, "u", "x", "e")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
