@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ END_ID = 1
 #: Entries after which a Python worker starts to remember anew; they hold no more than speed.
 REMEMBERED = 500_000
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, digest bigint, ids binary"
 
 #: Characters whose case, class and normal form are the same in every Unicode version.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*")
@@ -98,7 +99,7 @@ def encoder(path: str) -> Encoder:
 def tokenized_pieces(
     docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID
 ) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, ids (bytes).
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, digest (64 bits of a hash), ids (bytes).
 
     A document's ids are its text's ids and ``end_id``; documents longer than ``limit`` are cut into
     pieces of ``limit``, the last one shorter. A null or empty text is ``end_id`` alone. Repeated
@@ -114,7 +115,8 @@ def tokenized_pieces(
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
-                    values = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)
+                    digest = xxhash.xxh64_intdigest(part) - (1 << 63)
+                    values = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), digest, part)
                     for column, value in zip(out.values(), values):
                         column.append(value)
             yield out
@@ -173,14 +175,15 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Add sequence_id and offset to pieces with doc_id, piece and length (1 to ``limit``).
 
     Ranks within a length are taken in salted groups, so a length that a third of all pieces have is
-    spread over all tasks: rank in the group plus the counts of the groups before it. Pieces that are
-    equal in every column take each other's slots. No pieces give no rows. ``pieces`` is read twice
-    (histogram, placement): pass a written table.
+    spread over all tasks: rank in the group plus the counts of the groups before it. Groups are dealt
+    by all columns but ``ids``: with a row number among them, equal pieces are spread too, and without one
+    they take each other's slots. No pieces give no rows. ``pieces`` is read twice (histogram,
+    placement): pass a written table.
     """
     spark = pieces.sparkSession
     salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) for c in pieces.columns if c not in ("length", "ids")]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = spark.createDataFrame(
@@ -211,17 +214,25 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Placement of every piece, without its ids: PIECES' other columns, sequence_id, offset."""
-    return pack(materialize(tokenized_pieces(docs, path, limit).drop("ids")), limit)
+    pieces = tokenized_pieces(docs, path, limit).drop("ids")
+    numbered = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    return pack(numbered, limit).drop("_row")
 
 
 def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The packed sequences: sequence_id, ids (array), n_pieces; doc_id and piece must be unique.
+    """The packed sequences: sequence_id, ids (array), n_pieces. Every placed piece comes once.
 
-    A sequence gathers at most ``limit`` ids.
+    ``pieces`` are those of the packed documents, with ids. Repeated rows, and copies that share an id,
+    have pieces of the same digest: these stand for one another, and any of them gives the ids of all. A
+    sequence gathers at most ``limit`` ids.
     """
-    ids = pieces.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), "ids")
-    places = placed.select("doc_id", "piece", "sequence_id", "offset")
-    parts = places.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece")))
+    key = ["doc_id", "piece", "length", "digest"]
+    ids = pieces.select(*key, "ids").dropDuplicates(key).withColumnRenamed("doc_id", "_doc")
+    places = placed.select(*key, "sequence_id", "offset")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    for c in key[1:]:
+        same = same & (places[c] == ids[c])
+    parts = places.join(ids, same).select("sequence_id", "offset", "ids")
     rows = parts.groupBy("sequence_id").agg(
         F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")
     )

@@ -107,6 +107,35 @@ def test_sequences_hold_the_ids(documents):
     assert max(len(r.ids) for r in whole) <= packing.LIMIT
 
 
+def test_every_copy_comes_once_in_the_sequences(spark, documents, tricky):
+    """Repeated rows, ids with several texts and null ids: tokens in are tokens out."""
+    some = documents.select("doc_id", "text").limit(30)
+    rows = some.union(some).union(tricky.select("doc_id", "text")).union(some.selectExpr("NULL", "text"))
+    other = some.selectExpr("doc_id", "concat(text, ' again')")
+    docs = rows.union(other).union(other.limit(3)).cache()
+    pieces = packing.tokenized_pieces(docs, vocabulary()).cache()
+    placed = packing.packed_documents(docs, vocabulary()).cache()
+    whole = packing.sequences(placed, pieces).collect()
+    assert placed.count() == pieces.count() == sum(r.n_pieces for r in whole)
+    want = Counter()
+    for r in pieces.select("ids").collect():
+        want.update(np.frombuffer(r.ids, "<u4").tolist())
+    got = Counter()
+    for r in whole:
+        got.update(r.ids)
+        assert len(r.ids) <= packing.LIMIT
+    assert got == want
+    lengths = {r.sequence_id: r.n for r in placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+    assert {r.sequence_id: len(r.ids) for r in whole} == lengths
+
+
+def test_equal_pieces_are_dealt_to_many_groups(spark):
+    """All rows alike and without an id: ranks are taken in many groups, and every slot is taken once."""
+    docs = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    placed = packing.packed_documents(docs, vocabulary())
+    assert placed.count() == placed.select("sequence_id", "offset").distinct().count() == 3000
+
+
 def test_license_words_and_places(docs):
     got = rows_of(licenses.scanned(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == Counter((d, *brute.op5(t)) for d, t in pairs(docs))
