@@ -2,8 +2,9 @@
 
 Templates (licence notices) are indexed by position of their words of highest inverse document frequency.
 A document looks up all its indexed words; template postings vote for (template, relative position), and
-a vote of enough words in line, together with the template's mandatory phrases, is a finding.
-Everything happens within the document's row; only document frequencies are gathered.
+a vote of enough words in line, with the template's mandatory phrases at their places there, is a finding.
+Of templates that are found in one place the one that fits best counts. Everything happens within the
+document's row; only document frequencies are gathered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import let, totals_before, whole_text
+from quire.llm.license_texts import TEMPLATES
 
 #: What stands between words (ASCII other than letters and digits).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -25,69 +27,31 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Label: (notice, phrases of which each must stand in the text). Public licence texts.
-TEMPLATES = {
-    "agpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "Affero General Public License as published by the Free Software Foundation, either version 3",
-        ["affero general public license"],
-    ),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
-        ["redistribution and use in source and binary forms"],
-    ),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
-    "cc-by-nc-nd-4.0": ("Licensed under CC BY-NC-ND 4.0", ["cc by nc nd 4 0"]),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
-    "cc-by-4.0": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
-        ["creative commons attribution 4 0"],
-    ),
-    "cc0-1.0": ("To the extent possible under law CC0 1.0 Universal public domain dedication", ["cc0 1 0"]),
-    "gpl-2.0": (
-        "This work is licensed under the GNU General Public License, version 2",
-        ["gnu general public license", "version 2"],
-    ),
-    "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
-        ["gnu general public license", "version 3"],
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted",
-        ["with or without fee is hereby granted"],
-    ),
-    "lgpl-2.1": (
-        "This library is free software licensed under the GNU Lesser General Public License, version 2.1",
-        ["gnu lesser general public license"],
-    ),
-    "mit": ("Released under the MIT License", ["mit license"]),
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files",
-        ["permission is hereby granted free of charge"],
-    ),
-    "mpl-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-        ["mozilla public license"],
-    ),
-    "reserved": ("Copyright. All rights reserved", ["all rights reserved"]),
-    "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered"]),
-}
-
 #: Words of highest IDF that a template is indexed by.
 INDEXED = 12
 #: Share of a template's rare words that must stand in line.
 LEAST_VOTES = 0.6
+#: Words by which a mandatory phrase may have moved from its place, as where others were put in.
+MOVED = 4
 
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^0-9a-z]+", text.lower()) if w]
 
 
-VOCABULARY = sorted({w for notice, _ in TEMPLATES.values() for w in _words(notice)})
+VOCABULARY = sorted({w for _, notice, _ in TEMPLATES for w in _words(notice)})
+
+
+def phrase_places(notice: str, phrases: list[str]) -> list[tuple[int, list[str]]]:
+    """Word position of each mandatory phrase in its notice, and its words."""
+    words, out = _words(notice), []
+    for phrase in phrases:
+        own = phrase.split()
+        out.append((next(i for i in range(len(words)) if words[i : i + len(own)] == own), own))
+    return out
+
+
+PLACES = [phrase_places(notice, phrases) for _, notice, phrases in TEMPLATES]
 
 
 def normalized(text: Column) -> Column:
@@ -136,7 +100,7 @@ class Index:
         self.postings: dict[str, list[int]] = {w: [] for w in self.idf}
         self.needed: list[int] = []
         self.rare: list[int] = []
-        for t, (notice, _) in enumerate(TEMPLATES.values()):
+        for t, (_, notice, _) in enumerate(TEMPLATES):
             words = _words(notice)
             best = sorted(set(words), key=lambda w: (-self.idf[w], w))[:INDEXED]
             for at, w in enumerate(words):
@@ -173,8 +137,9 @@ def _votes(norm: Column, index: Index) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, findings.
 
-    findings lists (label, share of the template's rare words in line, word offset). score is the best
-    share of a verified finding, 0 without one. A null or empty text has no words and no findings;
+    findings lists (label, share of the template's rare words in line, word offset). Of findings that
+    overlap by more than half of the shorter template only the best counts: by share, then by how little
+    its phrases have moved, then by length. score is the best share of a finding, 0 without one. A null or empty text has no words and no findings;
     repeated rows give equal rows; columns other than doc_id and text play no part.
     """
     if not VOCABULARY:
@@ -203,30 +168,19 @@ def scanned(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    names = list(TEMPLATES)
+    names = [label for label, _, _ in TEMPLATES]
     needed, rare = (F.array(*map(F.lit, x)) for x in (index.needed, index.rare))
-    verified = F.array(
-        *(
-            F.coalesce(
-                F.lit(True)
-                if not phrases
-                else _all([F.col("norm").rlike(phrase_pattern(p)) for p in phrases]),
-                F.lit(False),
-            )
-            for _, phrases in TEMPLATES.values()
-        )
-    )
-    # Phrases are looked for only where some template has its votes.
+    none = F.array().cast("array<struct<t:int,n:int,offset:bigint>>")
     enough = F.filter(let(F.col("_votes"), lined), lambda x: x["n"] >= F.get(needed, x["t"]))
-    rows = rows.withColumn("_enough", F.when(F.size("_votes") > 0, enough).otherwise(F.array().cast("array<struct<t:int,n:int,offset:bigint>>")))
-    checked = F.when(F.size("_enough") > 0, verified).otherwise(F.array().cast("array<boolean>"))
-    rows = rows.withColumn("_verified", checked)
+    rows = rows.withColumn("_enough", F.when(F.size("_votes") > 0, enough).otherwise(none))
+    checked = let(F.split(F.lower("norm"), " "), lambda words: _placed(F.col("_enough"), words, rare))
+    rows = rows.withColumn("_placed", F.when(F.size("_enough") > 0, checked).otherwise(F.array().cast(_PLACED)))
+    best = let(F.col("_placed"), lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: _beats(y, x))))
+    rows = rows.withColumn("_best", F.when(F.size("_placed") > 0, best).otherwise(F.array().cast(_PLACED)))
     findings = F.transform(
-        F.filter("_enough", lambda x: F.get(F.col("_verified"), x["t"])),
+        "_best",
         lambda x: F.struct(
-            F.get(F.array(*map(F.lit, names)), x["t"]).alias("label"),
-            F.least(x["n"] / F.get(rare, x["t"]), F.lit(1.0)).alias("share"),
-            x["offset"].alias("offset"),
+            F.get(F.array(*map(F.lit, names)), x["t"]).alias("label"), x["fit"]["share"].alias("share"), x["offset"].alias("offset")
         ),
     )
     places = [F.col(f"_p{i}") for i in range(len(PHRASES))]
@@ -252,8 +206,48 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+_PLACED = "array<struct<t:int,offset:bigint,length:int,fit:struct<share:double,moved:int,words:int,t:int>>>"
+
+
+def _placed(enough: Column, words: Column, rare: Column) -> Column:
+    """Findings whose mandatory phrases stand at their places, or have moved by up to ``MOVED`` words."""
+    phrase = "array<array<struct<at:int,words:array<string>>>>"
+    listed = F.array(
+        *(F.array(*(F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, own)).alias("words")) for at, own in places)) for places in PLACES)
+    ).cast(phrase)
+    lengths = F.array(*(F.lit(len(_words(notice))) for _, notice, _ in TEMPLATES))
+
+    def stands(x: Column, p: Column, away: Column) -> Column:
+        start = x["offset"] + p["at"] + away
+        there = F.slice(words, F.greatest(start + 1, F.lit(1)).cast("int"), F.size(p["words"]))
+        return (start >= 0) & (there == p["words"])
+
+    def moved(x: Column) -> Column:
+        """Words by which the phrase farthest from its place has moved; null where one is missing."""
+        ways = F.array(*(F.lit(d) for d in sorted(range(-MOVED, MOVED + 1), key=abs)))
+        each = F.transform(
+            F.get(listed, x["t"]), lambda p: F.abs(F.get(F.filter(ways, lambda d: stands(x, p, d)), F.lit(0)))
+        )
+        return F.when(F.forall(each, lambda d: d.isNotNull()), F.coalesce(F.array_max(each), F.lit(0)))
+
+    measured = F.transform(enough, lambda x: F.struct(x.alias("x"), moved(x).alias("moved")))
+    return F.transform(
+        F.filter(measured, lambda m: m["moved"].isNotNull()),
+        lambda m: F.struct(
+            m["x"]["t"].alias("t"),
+            m["x"]["offset"].alias("offset"),
+            F.get(lengths, m["x"]["t"]).alias("length"),
+            F.struct(
+                F.least(m["x"]["n"] / F.get(rare, m["x"]["t"]), F.lit(1.0)).alias("share"),
+                (-m["moved"]).alias("moved"),
+                F.get(lengths, m["x"]["t"]).alias("words"),
+                (-m["x"]["t"]).alias("t"),
+            ).alias("fit"),
+        ),
+    ).cast(_PLACED)
+
+
+def _beats(y: Column, x: Column) -> Column:
+    """Whether finding ``y`` fits better than ``x`` and the shorter of the two lies within the other or begins with it."""
+    overlap = F.least(x["offset"] + x["length"], y["offset"] + y["length"]) - F.greatest(x["offset"], y["offset"])
+    return (y["fit"] > x["fit"]) & (2 * overlap > F.least(x["length"], y["length"]))

@@ -82,6 +82,49 @@ def op5(text: str | None) -> tuple:
     )
 
 
+def op5_findings(texts: list[str | None], templates: list[tuple], indexed: int, least: float, moved: int) -> list[list]:
+    """(label, share) of each text's findings: every template at every place, word by word."""
+
+    def plain(text: str | None) -> list[str]:
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", ascii_lower(text or ""))
+
+    def english(text: str) -> list[str]:
+        return re.findall("[0-9a-z]+", text.lower())
+
+    documents = [plain(t) for t in texts]
+    held = Counter(w for d in documents for w in set(d))
+    out = []
+    for words in documents:
+        found = []
+        for t, (label, notice, phrases) in enumerate(templates):
+            own = english(notice)
+            rare = set(sorted(set(own), key=lambda w: (held[w], w))[:indexed])
+            lined = [i for i, w in enumerate(own) if w in rare]
+            needed = max(1, -int(-least * len(lined) // 1))
+            for at in range(-len(own), len(words)) if rare & set(words) else ():
+                n = sum(0 <= at + i < len(words) and words[at + i] == own[i] for i in lined)
+                if n < needed:
+                    continue
+                away = []
+                for phrase in phrases:
+                    p = phrase.split()
+                    q = next(i for i in range(len(own)) if own[i : i + len(p)] == p)
+                    ways = [abs(d) for d in range(-moved, moved + 1) if at + q + d >= 0 and words[at + q + d : at + q + d + len(p)] == p]
+                    away.append(min(ways, default=None))
+                if None not in away:
+                    found.append((min(1.0, n / len(lined)), -max(away), len(own), -t, at, label))
+        best = []
+        for x in found:
+            beaten = False
+            for y in found:
+                overlap = min(x[4] + x[2], y[4] + y[2]) - max(x[4], y[4])
+                beaten |= y[:4] > x[:4] and 2 * overlap > min(x[2], y[2])
+            if not beaten:
+                best.append((x[5], x[0]))
+        out.append(best)
+    return out
+
+
 # op9
 def op9(text: str | None) -> tuple:
     text = text or ""

@@ -141,6 +141,43 @@ def test_license_words_and_places(docs):
     assert got == Counter((d, *brute.op5(t)) for d, t in pairs(docs))
 
 
+def notice_of(label: str) -> str:
+    return next(notice for name, notice, _ in licenses.TEMPLATES if name == label)
+
+
+def test_every_template_is_told_from_every_other(spark):
+    texts = [notice for _, notice, _ in licenses.TEMPLATES]
+    texts += [f"Some words first. {notice}. Needs Python version 2 and version 3." for notice in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: {f.label for f in r.findings} for r in licenses.scanned(docs).collect()}
+    labels = [label for label, _, _ in licenses.TEMPLATES]
+    assert [got[i] for i in range(len(texts))] == [{label} for label in labels + labels]
+
+
+def test_findings_equal_plain(spark, documents):
+    """Labels and score against every template at every place, with notices that are cut, moved and mixed."""
+    rng = np.random.default_rng(2)
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    texts = [r.text for r in documents.select("text").limit(60).collect()] + [None, ""]
+    texts = [t if t is None else t[:1500] for t in texts]
+    for _ in range(60):
+        words = []
+        for k in rng.choice(len(notices), 2):
+            own = notices[k].split()[int(rng.integers(0, 3)) :]
+            if rng.random() < 0.5:
+                own.insert(int(rng.integers(0, len(own) + 1)), "inserted words")
+            words += ["before"] * int(rng.integers(0, 4)) + own
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = brute.op5_findings(texts, licenses.TEMPLATES, licenses.INDEXED, licenses.LEAST_VOTES, licenses.MOVED)
+    for r in licenses.scanned(docs).collect():
+        found = want[r.doc_id]
+        assert Counter((f.label, f.share) for f in r.findings) == Counter(found)
+        base = set(brute.op5(texts[r.doc_id])[4].split(",")) - {""}
+        assert r.labels == ",".join(sorted(base | {label for label, _ in found}))
+        assert r.score == max((share for _, share in found), default=0.0)
+
+
 def test_license_notices_are_found(spark):
     filler = [f"Some words of a plain text number {i} that goes on." for i in range(60)]
     notices = [
@@ -149,18 +186,19 @@ def test_license_notices_are_found(spark):
         "The license of the version was released under review",
         "This work is licensed under the GNU General Public License, version 2",
         "License Apache. 2.0 version licensed",
+        "This work is licensed under the GNU General Public License, version 3. Needs Python version 2.",
     ]
     docs = spark.createDataFrame(list(enumerate(notices + filler)), "doc_id int, text string")
     got = {r.doc_id: r for r in licenses.scanned(docs).collect()}
-    assert [got[i].labels for i in range(5)] == ["apache-2.0", "mit", "", "gpl,gpl-2.0", ""]
-    assert got[0].score == 1.0 and got[2].score == 0.0 and all(not got[i].labels for i in range(5, 65))
+    assert [got[i].labels for i in range(6)] == ["apache-2.0", "mit", "", "gpl,gpl-2.0", "", "gpl,gpl-3.0"]
+    assert got[0].score == 1.0 and got[2].score == 0.0 and all(not got[i].labels for i in range(6, 66))
     assert got[0].findings[0].offset == 2
 
 
 def test_every_notice_of_a_text_is_found(spark):
     """Notices do not compete for words, neither with each other nor with the text around them."""
     names = ("bsd", "mit-text", "isc", "apache-2.0", "mpl-2.0", "unlicense")
-    notices = {k: licenses.TEMPLATES[k][0] for k in names}
+    notices = {k: notice_of(k) for k in names}
     around = "A person whose source of forms and conditions met a charge, and any copy or file of the work. " * 200
     texts = [
         f"{notices['bsd']}. {notices['mit-text']}.",
@@ -181,7 +219,7 @@ def test_common_notices_are_found(spark, share):
     """A notice in a third or all of the documents is a finding like a rare one."""
     n = 20
     for label in ("apache-2.0", "mit", "gpl-3.0", "cc-by-4.0"):
-        notice = licenses.TEMPLATES[label][0]
+        notice = notice_of(label)
         texts = [f"text{i} {notice} end" if i < share * n else f"text{i} alone" for i in range(n)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
         found = {r.doc_id for r in licenses.scanned(docs).collect() if label in {f.label for f in r.findings} and r.score == 1}
