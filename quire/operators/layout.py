@@ -7,15 +7,13 @@ order. Documents are cut into runs of pages (see ``scan``), never gathered whole
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ids, text
+from quire.operators.nearest import SEGMENT_ROWS, nearest_smaller
 from quire.operators.scan import SEGMENT, Running, segmented_scan
 from quire.rejects import Code, drop_units, reject_rows
-from quire.session import materialize
 
 # Layout labels and what they stand for.
 BLOCK_TYPE_OF_LABEL = {
@@ -46,8 +44,6 @@ MAX_OCR_BYTES = 32 * 1024 * 1024
 
 PAGES_PER_SEGMENT = 256
 BLOCKS_PER_SEGMENT = 4096
-SECTIONS_PER_SEGMENT = 4096
-LEVELS_PER_PASS = 16
 
 
 def literal_map(table: dict[str, str]) -> Column:
@@ -201,83 +197,22 @@ def headings_as_sections(assigned: DataFrame) -> DataFrame:
     )
 
 
-def _by_level(
-    sections: DataFrame, name: str, reverse: bool, levels: Sequence[int], chunk: int
-) -> DataFrame:
-    """Nearest earlier section of smaller level, or nearest later one of level at most its own.
-
-    One running maximum (minimum) per distinct level answers it for all rows of that level.
-    Levels are taken a few at a time, so any number of them is handled.
-    """
-    order = [F.col("ordinal").desc()] if reverse else ["ordinal"]
-    result = sections.withColumn(name, F.lit(None).cast("int"))
-    for start in range(0, len(levels), chunk):
-        part = levels[start : start + chunk]
-        seen = [
-            Running(
-                f"_level_{level}",
-                F.when(
-                    F.col("level") <= level if reverse else F.col("level") < level,
-                    F.col("ordinal"),
-                ),
-                "min" if reverse else "max",
-                inclusive=False,
-            )
-            for level in part
-        ]
-        scanned = segmented_scan(result, ["artifact_id"], order, seen, reverse=reverse)
-        picked = F.coalesce(
-            F.col(name), *(F.when(F.col("level") == v, F.col(f"_level_{v}")) for v in part)
-        )
-        result = scanned.withColumn(name, picked).drop(*(r.name for r in seen))
-    return result
-
-
-def section_levels(sections: DataFrame) -> list[int]:
-    """Distinct heading levels; a handful, as each needs a number of that many parts."""
-    return sorted(row.level for row in sections.select("level").distinct().collect())
-
-
-def _with_levels(
-    sections: DataFrame,
-    name: str,
-    reverse: bool,
-    levels: Sequence[int] | None,
-    per_segment: int,
-    chunk: int,
-) -> DataFrame:
-    if levels is None:
-        sections = materialize(sections)
-        levels = section_levels(sections)
-    cut = sections.withColumn(SEGMENT, F.floor(F.col("ordinal") / per_segment).cast("int"))
-    return _by_level(cut, name, reverse, levels, chunk).drop(SEGMENT)
-
-
-def section_parents(
-    sections: DataFrame,
-    levels: Sequence[int] | None = None,
-    per_segment: int = SECTIONS_PER_SEGMENT,
-    chunk: int = LEVELS_PER_PASS,
-) -> DataFrame:
+def section_parents(sections: DataFrame, per_segment: int = SEGMENT_ROWS) -> DataFrame:
     """``parent_ordinal``: the nearest earlier section with a strictly smaller level."""
-    return _with_levels(sections, "parent_ordinal", False, levels, per_segment, chunk)
+    return nearest_smaller(sections, "artifact_id", "ordinal", "level", "parent_ordinal", rows=per_segment)
 
 
-def section_successors(
-    sections: DataFrame,
-    levels: Sequence[int] | None = None,
-    per_segment: int = SECTIONS_PER_SEGMENT,
-    chunk: int = LEVELS_PER_PASS,
-) -> DataFrame:
+def section_successors(sections: DataFrame, per_segment: int = SEGMENT_ROWS) -> DataFrame:
     """``next_ordinal``: the section that closes this one, null when the document end does."""
-    return _with_levels(sections, "next_ordinal", True, levels, per_segment, chunk)
+    return nearest_smaller(
+        sections, "artifact_id", "ordinal", "level", "next_ordinal", later=True, equal=True, rows=per_segment
+    )
 
 
 def section_page_spans(
     sections: DataFrame,
     assigned: DataFrame,
-    levels: Sequence[int] | None = None,
-    per_segment: int = SECTIONS_PER_SEGMENT,
+    per_segment: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """``page_end``: the page of the last block before the section is closed.
 
@@ -285,7 +220,7 @@ def section_page_spans(
     closing one, or the last page of the document. ``assigned`` needs only ``artifact_id``,
     ``page_no`` and ``section_ordinal``.
     """
-    closed = section_successors(sections, levels, per_segment)
+    closed = section_successors(sections, per_segment)
     extents = (
         assigned.filter(F.col("section_ordinal").isNotNull())
         .groupBy("artifact_id", "section_ordinal")

@@ -51,8 +51,7 @@ def build_report_tables(layout_blocks: DataFrame) -> ReportTables:
     blocks = materialize(ordered)
 
     sections = materialize(L.headings_as_sections(blocks))
-    levels = L.section_levels(sections)
-    placed = L.section_page_spans(L.section_parents(sections, levels), blocks, levels)
+    placed = L.section_page_spans(L.section_parents(sections), blocks)
     named = placed.withColumn(
         "external_id", L.section_external_id(F.col("ordinal"))
     ).withColumn("parent_external_id", L.section_external_id(F.col("parent_ordinal")))

@@ -86,9 +86,7 @@ def test_outline_equals_stack(spark):
     documents[100] = [1, 3, 2, 3, 1, 1]
     rows = [(d, i, level) for d, ls in documents.items() for i, level in enumerate(ls)]
     sections = spark.createDataFrame(rows, "artifact_id INT, ordinal INT, level INT")
-    both = L.section_successors(
-        L.section_parents(sections, per_segment=8, chunk=6), per_segment=8, chunk=6
-    )
+    both = L.section_successors(L.section_parents(sections, per_segment=8), per_segment=8)
     actual = {(r.artifact_id, r.ordinal): (r.parent_ordinal, r.next_ordinal)
               for r in both.collect()}
     for d, levels in documents.items():
@@ -97,6 +95,24 @@ def test_outline_equals_stack(spark):
             assert actual[d, i] == (parents[i], closing[i])
 
 
+def test_outline_plan_is_the_same_for_any_depth(spark):
+    """Three levels or a hundred and twenty: as many exchanges, and no job before the result is asked for."""
+    counts = []
+    for depth in (3, 120):
+        rows = [(1, i, 1 + i % depth) for i in range(3 * depth)]
+        sections = spark.createDataFrame(rows, "artifact_id INT, ordinal INT, level INT")
+        spark.sparkContext.setJobGroup(f"outline-{depth}", "plan only")
+        both = L.section_successors(L.section_parents(sections))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"outline-{depth}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        counts.append(plan.count("Exchange"))
+        parents, closing = stack_outline([level for _, _, level in rows])
+        got = {r.ordinal: (r.parent_ordinal, r.next_ordinal) for r in both.collect()}
+        assert got == {i: (parents[i], closing[i]) for i in range(len(rows))}
+    assert counts[0] == counts[1]
+
+
 def test_sections_do_not_depend_on_segment_size(spark, sf_dir):
     from checks import inputs
 
