@@ -80,3 +80,24 @@ def stream_layer1(spark, d):
     return intake.delivered_table(spark, f"{folder}/tables", "document_blocks").select(
         "artifact_id", "page_no", "reading_order", "text_content", "id"
     )
+
+
+@register("""
+    SELECT event_id AS request_id, 'k' || user_id || '-' || event_id % 40 AS idempotency_key
+    FROM events WHERE event_id % 3 <> 0
+    QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY ts, event_id) = 1
+    UNION ALL
+    SELECT event_id, NULL FROM events WHERE event_id % 3 = 0""")
+def stream_earliest(spark, d):
+    """The earliest request of each key, although the latest arrive first and a lot arrives twice."""
+    folder = scratch_folder(spark)
+    events = I.table(spark, d, "events")
+    lots = events.repartitionByRange(6, F.col("ts").desc())
+    lots.write.parquet(f"{folder}/arriving")
+    events.where("event_id % 4 = 1").coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    arriving = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arriving")
+    )
+    intake.stream_earliest(I.intake_rows(arriving), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    kept = intake.earliest_requests(spark, f"{folder}/table").read()
+    return kept.select("request_id", "idempotency_key")

@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.submissions import REPORT, SOURCE
 from quire.plans.report import audited_report_tables
-from quire.session import scratch_scope
+from quire.session import materialize, scratch_scope
 from quire.sources.layout import pages_of
 from quire.sources.sinks import block_rows, section_rows
+from quire.sources.store import KeyedTable, Part, Store
 
 
 def stream_intake(requests: DataFrame, lateness: str) -> DataFrame:
@@ -27,14 +28,32 @@ def stream_intake(requests: DataFrame, lateness: str) -> DataFrame:
     return first.unionByName(requests.filter(~keyed | keyed.isNull()))
 
 
-def _replace_batch(df: DataFrame, folder: str, batch_id: int) -> None:
-    """Write a micro-batch under its own id; a repeated batch replaces itself."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(folder)
+def earliest_requests(spark: SparkSession, folder: str) -> KeyedTable:
+    """One request per idempotency key, the earliest received (then of smallest id); every keyless one."""
+    order = F.struct(-F.unix_micros(F.col("received_at")), -F.col("request_id"))
+    return KeyedTable(spark, folder, "request_key", order)
+
+
+def stream_earliest(
+    requests: DataFrame, folder: str, checkpoint: str, **trigger: str | bool
+) -> StreamingQuery:
+    """Keep the earliest request of each key, however late it comes.
+
+    ``requests`` has ``request_id`` (a number), ``received_at`` and ``idempotency_key``. Nothing is held in
+    memory between batches and nothing is too late: ``earliest_requests`` reads the table.
+    """
+    key = F.col("idempotency_key")
+    named = F.when(key != "", F.concat(F.lit("key:"), key))
+    keyed = requests.withColumn("request_key", F.coalesce(named, F.concat(F.lit("request:"), "request_id")))
+
+    def process(df: DataFrame, batch_id: int) -> None:
+        earliest_requests(df.sparkSession, folder).merge(df, batch_id)
+
+    return (
+        keyed.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(process)
+        .start()
     )
 
 
@@ -55,23 +74,50 @@ def stream_ready(
 ) -> StreamingQuery:
     """Maintain the latest pair of each submission, writing it whenever both exist.
 
-    State is one row per submission. Updates land in a table by batch; ``ready_table`` reads the
-    newest of each submission. ``trigger`` is that of the writer, all data at hand by default.
+    State is one row per submission. Updates are merged into a table that is compacted as it grows;
+    ``ready_table`` reads the newest of each submission. ``trigger`` is that of the writer, all data at hand
+    by default.
     """
     pairs = newest_pairs(artifacts).filter("report IS NOT NULL AND source IS NOT NULL")
+
+    def process(df: DataFrame, batch_id: int) -> None:
+        rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _ready(df.sparkSession, folder).merge(rows, batch_id)
+
     return (
         pairs.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda df, batch_id: _replace_batch(df, folder, batch_id))
+        .foreachBatch(process)
         .start()
     )
 
 
+def _ready(spark: SparkSession, folder: str) -> KeyedTable:
+    return KeyedTable(spark, folder, "submission_id", F.col("batch_id"))
+
+
 def ready_table(spark: SparkSession, folder: str) -> DataFrame:
-    updates = spark.read.parquet(folder)
-    newest = F.max_by(F.struct("report", "source"), "batch_id").alias("pair")
-    return updates.groupBy("submission_id").agg(newest).select("submission_id", "pair.*")
+    return _ready(spark, folder).read().drop("batch_id")
+
+
+def newest_files(texts: DataFrame) -> DataFrame:
+    """One row per artifact, that of the latest ``modified_at``; of equal times the greater hash of the text.
+
+    Times and hashes choose; texts stay in place, but for artifacts that come more than once.
+    """
+    hashed = texts.withColumn("_hash", F.xxhash64("value"))
+    chosen = hashed.groupBy("artifact_id").agg(
+        F.max(F.struct("modified_at", "_hash")).alias("_newest"), F.count(F.lit(1)).alias("_times")
+    )
+    met = hashed.join(chosen, "artifact_id").where(F.struct("modified_at", "_hash") == F.col("_newest"))
+    columns = ["artifact_id", "value", "modified_at"]
+    once, again = met.where("_times = 1").select(*columns), met.where("_times > 1").select(*columns)
+    return once.unionByName(again.dropDuplicates(["artifact_id"]))
+
+
+#: Runs of a stream's store after which they are merged, and seconds that merged ones are kept.
+COMPACT_AFTER, RETAINED_S = 20, 86_400
 
 
 def stream_layer1(
@@ -79,23 +125,30 @@ def stream_layer1(
 ) -> StreamingQuery:
     """Document tables from layout files as they arrive, whole artifacts per micro-batch.
 
-    ``texts`` is a stream of ``(artifact_id, value)``, one result file per row. Each batch notes
-    what it delivered, last; ``delivered_table`` reads the newest delivery of each artifact, so a
-    file that comes twice replaces itself. Scratch tables go when the batch is done.
+    ``texts`` is a stream of ``(artifact_id, value)``, one result file per row, with the file's time as
+    ``modified_at`` where it is known. An artifact's newest file stands, whichever batch or order it comes in;
+    ``delivered_table`` reads it. Runs are merged every ``COMPACT_AFTER`` batches. Scratch tables go when the
+    batch is done.
     """
+    if "modified_at" not in texts.columns:
+        texts = texts.withColumn("modified_at", F.lit(None).cast("timestamp"))
 
     def process(df: DataFrame, batch_id: int) -> None:
-        with scratch_scope(df.sparkSession):
-            once = df.groupBy("artifact_id").agg(F.max("value").alias("value"))
-            built = audited_report_tables(pages_of(once))
+        spark = df.sparkSession
+        store = Store(spark, folder)
+        with scratch_scope(spark):
+            files = materialize(newest_files(df))
+            built = audited_report_tables(pages_of(files.drop("modified_at")))
+            units = files.select("artifact_id", F.unix_millis("modified_at").alias("as_of"))
             tables = {
                 "document_sections": section_rows(built.sections),
                 "document_blocks": block_rows(built.blocks, parser_version),
                 "rejects": built.rejects.withColumnRenamed("unit_id", "artifact_id"),
-                "deliveries": df.select(F.col("artifact_id").cast("string")).distinct(),
             }
-            for name, rows in tables.items():
-                _replace_batch(rows, f"{folder}/{name}", batch_id)
+            store.write_batch([Part(name, rows, "artifact_id", units) for name, rows in tables.items()], batch_id)
+        if len(store.runs()) > COMPACT_AFTER:
+            store.compact()
+            store.vacuum(RETAINED_S)
 
     return (
         texts.writeStream.option("checkpointLocation", checkpoint)
@@ -106,12 +159,5 @@ def stream_layer1(
 
 
 def delivered_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of a table that ``stream_layer1`` keeps, of each artifact's newest delivery."""
-    newest = (
-        spark.read.parquet(f"{folder}/deliveries")
-        .groupBy("artifact_id")
-        .agg(F.max("batch_id").alias("batch_id"))
-    )
-    rows = spark.read.parquet(f"{folder}/{name}")
-    keyed = rows.withColumn("artifact_id", F.col("artifact_id").cast("string"))
-    return keyed.join(newest, ["artifact_id", "batch_id"], "left_semi").drop("batch_id")
+    """Rows of a table that ``stream_layer1`` keeps, of each artifact's newest file."""
+    return Store(spark, folder).read(name)

@@ -9,6 +9,7 @@ from quire.operators import ledger as R
 from quire.operators import quality as Q
 from quire.operators import submissions as S
 from quire.sources.binary import ingest_binary
+from quire.sources.store import KeyedTable, Part, Store
 from quire.streaming import intake
 
 REQUEST = (
@@ -201,3 +202,60 @@ def test_stream_ready_equals_batch_over_batches(spark, tmp_path):
     assert sorted(intake.ready_table(spark, out).collect()) == sorted(want.collect())
     intake.stream_ready(stream, out, checkpoint).awaitTermination()
     assert sorted(intake.ready_table(spark, out).collect()) == sorted(want.collect())
+
+
+def test_stream_earliest_takes_late_rows(spark, tmp_path):
+    def at(day):
+        return datetime(2024, 1, day)
+
+    lots = [[(7, at(9), "a"), (8, at(9), None), (3, at(5), "b")], [(1, at(2), "a"), (9, at(2), "")],
+            [(2, at(2), "a"), (4, at(5), "b"), (8, at(9), None)]]
+    stream, _ = arrive(tmp_path, spark, "in", lots,
+                       "request_id INT, received_at TIMESTAMP, idempotency_key STRING")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+    intake.stream_earliest(stream, out, checkpoint).awaitTermination()
+    table = intake.earliest_requests(spark, out)
+    assert sorted(r.request_id for r in table.read().collect()) == [1, 3, 8, 9]
+    table.merge(table.read().limit(0), 1)  # a batch that was committed is left alone
+    assert len(table.runs()) == 3
+
+
+def test_replayed_batches_keep_files_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KeyedTable, "COMPACT_AFTER", 4)
+    table = KeyedTable(spark, str(tmp_path), "k", F.col("v"))
+    want = {}
+    for batch in range(30):
+        k, v = batch % 3, (batch * 7) % 11
+        want[k] = max(want.get(k, -1), v)
+        for _ in range(2):  # replayed at once
+            table.merge(spark.createDataFrame([(k, v), (k, v - 5)], "k INT, v INT"), batch, older_than_s=0)
+    assert {r.k: r.v for r in table.read().collect()} == want
+    assert len(list(tmp_path.rglob("*.json"))) <= 6 and len(list(tmp_path.rglob("*.parquet"))) <= 60
+    table.merge(spark.createDataFrame([(0, 99)], "k INT, v INT"), 29)
+    assert {r.k: r.v for r in table.read().collect()} == want
+
+
+def test_newest_file_of_an_artifact(spark):
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [(1, "zzz", old), (1, "aaa", new), (2, "x", old), (2, "x", old), (3, "p", None), (3, "q", old), (4, "m", new)]
+    files = spark.createDataFrame(rows, "artifact_id INT, value STRING, modified_at TIMESTAMP")
+    got = intake.newest_files(files).collect()
+    assert sorted((r.artifact_id, r.value) for r in got) == [(1, "aaa"), (2, "x"), (3, "q"), (4, "m")]
+
+
+def test_older_file_that_comes_later_does_not_replace(spark, tmp_path):
+    def units(day):
+        return spark.createDataFrame([(1, day)], "artifact_id INT, as_of BIGINT")
+
+    def part(text, day):
+        return Part("t", spark.createDataFrame([(1, text)], "artifact_id INT, text STRING"), "artifact_id", units(day))
+
+    store = Store(spark, str(tmp_path))
+    for batch, (text, day) in enumerate([("first", 10), ("older", 5), ("newer", 20), ("same time, later", 20)]):
+        store.write_batch([part(text, day)], batch)
+        store.write_batch([part("replayed", 99)], batch)
+        want = ["first", "first", "newer", "same time, later"][batch]
+        assert [r.text for r in store.read("t").collect()] == [want]
+    store.compact()
+    store.write_batch([part("oldest", 1)], 4)
+    assert [r.text for r in store.read("t").collect()] == ["same time, later"]
