@@ -17,7 +17,8 @@ PROMPT_VERSION = "claims-1"
 MAX_BATCH_CHARS = 24_000
 MAX_RESPONSE_BYTES = 32 * 1024 * 1024
 
-FOLD_BLOCKS = 4096
+#: Blocks of a segment: each is tried as the first one that opens a batch there.
+SEGMENT_BLOCKS = 64
 
 RESPONSE = "choices ARRAY<STRUCT<finish_reason: STRING, message: STRUCT<content: STRING>>>"
 CLAIM_ARRAY = (
@@ -65,16 +66,15 @@ def group_section_text(candidates: DataFrame, pages: int = PAGES_PER_SEGMENT) ->
 def batch_section_text(
     grouped: DataFrame,
     max_chars: int = MAX_BATCH_CHARS,
-    fold_blocks: int = FOLD_BLOCKS,
+    segment_blocks: int = SEGMENT_BLOCKS,
     length: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``batch_no`` of each block in its section: greedy packing up to ``max_chars`` characters.
 
     A single block over the limit voids the artifact. Sections that fit in one batch need no
-    packing; longer ones are folded over their block lengths; sections of more than
-    ``fold_blocks`` blocks follow next-batch pointers instead, in rounds of joins. Text is not
-    moved: only ids and lengths are, and the batch number joins back. ``length`` is the
-    character count, that of ``content`` unless given.
+    packing; of all others, of any number of blocks, segments are packed side by side (see
+    ``_packed``). Text is not moved: only ids and lengths are, and the batch number joins back.
+    ``length`` is the character count, that of ``content`` unless given.
     """
     length = F.char_length("content") if length is None else length
     too_long = (
@@ -90,112 +90,76 @@ def batch_section_text(
         F.col("at.external_id"),
     )
     accepted = drop_units(grouped, rejects, "artifact_id")
-    slim = materialize(
-        accepted.select(
-            "artifact_id", "group_rank", "position", "page_no", length.cast("long").alias("n")
-        )
-    )
+    slim = materialize(accepted.select("artifact_id", "group_rank", "position", length.cast("long").alias("n")))
     group = ["artifact_id", "group_rank"]
-    sizes = slim.groupBy(*group).agg(F.sum("n").alias("_chars"), F.count("n").alias("_blocks"))
-    sizes = materialize(sizes.filter(F.col("_chars") > max_chars))
-    folded = _fold_batches(
-        slim.join(sizes.filter(F.col("_blocks") <= fold_blocks), group, "left_semi"), max_chars
-    )
-    huge = sizes.filter(F.col("_blocks") > fold_blocks).select(*group)
-    if not huge.isEmpty():
-        chained = _chain_batches(slim.join(huge, group, "left_semi"), max_chars)
-        folded = folded.unionByName(chained)
-    batched = accepted.join(folded, [*group, "position"], "left").withColumn(
+    sizes = slim.groupBy(*group).agg(F.sum("n").alias("_chars")).filter(F.col("_chars") > max_chars)
+    packed = _packed(slim.join(sizes.select(*group), group, "left_semi"), max_chars, segment_blocks)
+    batched = accepted.join(packed, [*group, "position"], "left").withColumn(
         "batch_no", F.coalesce("batch_no", F.lit(0))
     )
     return batched, rejects
 
 
-def _fold_batches(slim: DataFrame, max_chars: int) -> DataFrame:
-    """Batch numbers of sections of bounded block count, by a fold over their lengths."""
-    start = F.struct(
-        F.lit(0).cast("long").alias("size"),
-        F.lit(0).alias("batch"),
-        F.array().cast("array<int>").alias("out"),
+def _packed(slim: DataFrame, max_chars: int, segment_blocks: int) -> DataFrame:
+    """Batch numbers of sections of any size, by transfer functions of their segments.
+
+    What the blocks before a segment leave it is one number, the characters of the open batch. The
+    larger it is, the earlier the first block that opens a batch; from there on all is settled within the
+    segment. So a segment is a short list of pieces, (entry above which this block opens first, batches
+    opened, characters left open), and a section's segments are followed through their pieces, one step
+    each. Then every segment packs its own blocks from its entry.
+    """
+    unit = ["artifact_id", "group_rank"]
+    long0 = F.lit(0).cast("long")
+    segments = slim.groupBy(*unit, F.floor(F.col("position") / segment_blocks).cast("int").alias(SEGMENT)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "n"))), lambda b: b["n"]).alias("_n")
     )
 
-    def pack(state: Column, n: Column) -> Column:
-        opens = (state["size"] > 0) & (state["size"] + n > max_chars)
-        batch = state["batch"] + opens.cast("int")
-        return F.struct(
-            F.when(opens, n).otherwise(state["size"] + n).alias("size"),
-            batch.alias("batch"),
-            F.concat(state["out"], F.array(batch)).alias("out"),
-        )
+    def state(size: Column, batch: Column) -> Column:
+        return F.struct(size.cast("long").alias("size"), batch.cast("int").alias("batch"))
 
-    lengths = F.transform(F.array_sort(F.collect_list(F.struct("position", "n"))), lambda b: b["n"])
-    return (
-        slim.groupBy("artifact_id", "group_rank")
-        .agg(F.aggregate(lengths, start, pack, lambda s: s["out"]).alias("batches"))
-        .select(
-            "artifact_id", "group_rank", F.posexplode("batches").alias("position", "batch_no")
-        )
-    )
+    def step(s: Column, n: Column) -> Column:
+        opens = (s["size"] > 0) & (s["size"] + n > max_chars)
+        return state(F.when(opens, n).otherwise(s["size"] + n), s["batch"] + opens.cast("int"))
 
+    def total(x: Column) -> Column:
+        return F.aggregate(x, long0, lambda a, b: a + b)
 
-def _chain_batches(slim: DataFrame, max_chars: int) -> DataFrame:
-    """Batch numbers of sections of any size.
+    def piece(n: Column, i: Column) -> Column:
+        left = F.aggregate(F.slice("_n", i + 2, F.size("_n")), state(n, F.lit(1)), step)
+        return F.struct((max_chars - total(F.slice("_n", F.lit(1), i + 1))).alias("above"), left.alias("left"))
 
-    If a batch opened at a block, its last block is the last one ending within ``max_chars`` of
-    where it starts, so the next opening is known from running lengths alone. The openings that
-    really happen are those reached from the first block; following pointers of doubling length
-    finds them in about log2(batches) rounds.
-    """
-    unit = ["artifact_id", "group_rank"]
-    pages = page_segments(slim)
-    spans = materialize(
-        segmented_scan(pages, unit, ["position"], [Running("_end", F.col("n"))]).drop(SEGMENT)
-    )
-    probes = spans.select(
-        *unit,
-        F.explode(
-            F.array(
-                F.struct(F.col("_end").alias("at"), F.lit(0).alias("kind"), "position"),
-                F.struct(
-                    (F.col("_end") - F.col("n") + max_chars).alias("at"),
-                    F.lit(1).alias("kind"),
-                    "position",
-                ),
-            )
-        ).alias("probe"),
-    ).select(*unit, "probe.*")
-    probes = probes.withColumn(SEGMENT, F.floor(F.col("at") / max_chars))
-    fitting = Running("_last", F.when(F.col("kind") == 0, F.col("position")), "max")
-    openings = segmented_scan(probes, unit, ["at", "kind", "position"], [fitting])
-    known = spans.select(*unit, F.col("position").alias("_next"))
-    jumps = materialize(
-        openings.filter("kind = 1")
-        .select(*unit, "position", (F.col("_last") + 1).alias("_next"))
-        .join(known, [*unit, "_next"])
-    )
-    reached = materialize(spans.filter("position = 0").select(*unit, "position"))
-    while True:
-        step = reached.join(jumps, [*unit, "position"]).select(
-            *unit, F.col("_next").alias("position")
-        )
-        grown = materialize(reached.unionByName(step).distinct())
-        if grown.count() == reached.count():
-            break
-        reached = grown
-        further = jumps.select(
-            *unit, F.col("position").alias("_next"), F.col("_next").alias("_after")
-        )
-        jumps = materialize(
-            jumps.join(further, [*unit, "_next"]).select(
-                *unit, "position", F.col("_after").alias("_next")
-            )
+    functions = segments.select(*unit, SEGMENT, F.transform("_n", piece).alias("pieces"), total(F.col("_n")).alias("all"))
+    each = F.struct(SEGMENT, "pieces", "all")
+    listed = functions.groupBy(*unit).agg(F.array_sort(F.collect_list(each)).alias("_all")).where(F.size("_all") > 1)
+    entries = "array<struct<segment:int,entry:struct<size:bigint,batch:int>>>"
+
+    def follow(s: Column, x: Column) -> Column:
+        size, batch = s["at"]["size"], s["at"]["batch"]
+        first = F.get(F.filter(x["pieces"], lambda p: size > p["above"]), F.lit(0))
+        after = F.when(first.isNull(), state(size + x["all"], batch)).otherwise(
+            state(first["left"]["size"], batch + first["left"]["batch"])
         )
-    opened = reached.withColumn("_opens", F.lit(1))
-    flagged = pages.join(opened, [*unit, "position"], "left")
-    counted = segmented_scan(
-        flagged, unit, ["position"], [Running("_batch", F.coalesce("_opens", F.lit(0)))]
+        entry = F.struct(x[SEGMENT].alias("segment"), s["at"].alias("entry"))
+        return F.struct(after.alias("at"), F.concat(s["out"], F.array(entry)).alias("out"))
+
+    start = F.struct(state(long0, F.lit(0)).alias("at"), F.array().cast(entries).alias("out"))
+    known = listed.select(*unit, F.explode(F.aggregate("_all", start, follow, lambda s: s["out"])).alias("_e")).select(
+        *unit, F.col("_e.segment").alias(SEGMENT), F.col("_e.entry").alias("_entry")
+    )
+
+    def number(s: Column, n: Column) -> Column:
+        after = step(s["at"], n)
+        return F.struct(after.alias("at"), F.concat(s["out"], F.array(after["batch"])).alias("out"))
+
+    entry = F.coalesce("_entry", state(long0, F.lit(0)))
+    begin = F.struct(entry.alias("at"), F.array().cast("array<int>").alias("out"))
+    numbered = segments.join(known, [*unit, SEGMENT], "left").withColumn(
+        "_out", F.aggregate("_n", begin, number, lambda s: s["out"])
+    )
+    return numbered.select(*unit, SEGMENT, F.posexplode("_out").alias("_at", "batch_no")).select(
+        *unit, (F.col(SEGMENT) * segment_blocks + F.col("_at")).cast("int").alias("position"), "batch_no"
     )
-    return counted.select(*unit, "position", (F.col("_batch") - 1).cast("int").alias("batch_no"))
 
 
 def build_claim_requests(batched: DataFrame, sections: DataFrame) -> DataFrame:

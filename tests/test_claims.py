@@ -38,17 +38,32 @@ def batches_of(df):
     return out
 
 
-def test_batches_fold_and_chain_equal_the_loop(spark):
+def test_batches_equal_the_loop_for_any_segment(spark):
     rng = random.Random(2)
     lengths = {a: [rng.randint(1, 30) for _ in range(rng.randint(1, 90))] for a in range(20)}
     lengths[50] = [10] * 300
+    lengths[51] = [0, 0, 40, 0, 0, 1, 40, 0] * 9 + [0] * 20
+    lengths[52] = [40] * 70
     expected = {a: greedy(ns, 40) for a, ns in lengths.items()}
     df = grouped(spark, lengths)
-    folded, none = C.batch_section_text(df, 40)
-    assert none.isEmpty()
-    assert batches_of(folded) == expected
-    chained, _ = C.batch_section_text(df, 40, fold_blocks=5)
-    assert batches_of(chained) == expected
+    for segment in (1, 5, 64, 1000):
+        batched, none = C.batch_section_text(df, 40, segment_blocks=segment)
+        assert none.isEmpty()
+        assert batches_of(batched) == expected
+
+
+def test_one_and_a_hundred_thousand_blocks_take_one_way(spark):
+    """Packed side by side in segments, by one plan; no section is gathered."""
+    import numpy as np
+
+    n = np.random.default_rng(4).integers(1, 2000, 100_000)
+    rows = spark.range(100_000).select(F.lit(1).alias("artifact_id"), F.col("id").cast("int").alias("position"),
+                                       F.get(F.lit([int(x) for x in n]), F.col("id").cast("int")).cast("long").alias("n"))
+    one = spark.createDataFrame([(2, 0, 30_000)], "artifact_id INT, position INT, n BIGINT")
+    packed = C._packed(rows.union(one).withColumn("group_rank", F.lit(0)), 24_000, 64)
+    found = packed.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("position", "batch_no"))).alias("b"))
+    got = {r.artifact_id: [b.batch_no for b in r.b] for r in found.collect()}
+    assert got == {1: greedy(n.tolist(), 24_000), 2: [0]}
 
 
 def test_batch_boundary_and_oversized_block(spark):
