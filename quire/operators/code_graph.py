@@ -14,6 +14,7 @@ from quire.functions import ids, text
 from quire.operators.layout import literal_map
 from quire.operators.scan import position_in_unit
 from quire.rejects import Code, drop_units, first_failure, reject_rows, union_rejects
+from quire.session import materialize
 
 # Provenance tags, parser evidence, relation names, reasons and warnings.
 PROVENANCE = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
@@ -196,26 +197,27 @@ def edge_content(edges: DataFrame) -> Column:
 
 
 def dedupe_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal edges collapse to one; one id with differing content voids the graph."""
-    others = [c for c in edges.columns if c not in ("graph_id", "id")]
-    unique = (
-        edges.withColumn("_content", edge_content(edges))
-        .groupBy("graph_id", "id")
-        .agg(
-            F.min("_content").alias("_low"),
-            F.max("_content").alias("_high"),
-            *(F.any_value(c).alias(c) for c in others),
-        )
-    )
-    conflicts = (
-        unique.filter(F.col("_low") != F.col("_high"))
-        .groupBy("graph_id")
-        .agg(F.min("id").alias("edge"))
-    )
+    """Equal edges collapse to one; one id with differing content voids the graph.
+
+    Ids and two 64-bit hashes of the content find what repeats and what differs; only edges whose id occurs
+    more than once are then moved to leave one.
+    """
+    content = edge_content(edges)
+    hashed = edges.select("graph_id", "id", F.xxhash64(content).alias("_a"), F.xxhash64(content, F.lit(1)).alias("_b"))
+    each = hashed.groupBy("graph_id", "id").agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.min("_a") != F.max("_a")) | (F.min("_b") != F.max("_b"))).alias("differ"),
+    )
+    again = materialize(each.filter("n > 1").select("graph_id", "id", "differ"))
+    conflicts = again.filter("differ").groupBy("graph_id").agg(F.min("id").alias("edge"))
     rejects = reject_rows(
         conflicts, "graph_id", Code.PARSER_ERROR, "conflicting edge evidence", F.col("edge")
     )
-    return drop_units(unique.drop("_low", "_high"), rejects, "graph_id"), rejects
+    kept = drop_units(edges, rejects, "graph_id")
+    repeated = again.select("graph_id", "id")
+    once = kept.join(repeated, ["graph_id", "id"], "left_anti")
+    left = kept.join(repeated, ["graph_id", "id"], "left_semi").dropDuplicates(["graph_id", "id"])
+    return once.unionByName(left), rejects
 
 
 def graph_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
