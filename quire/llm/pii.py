@@ -2,8 +2,10 @@
 
 Base spans come from four patterns. They are the seeds of a graph between *contexts* (the word before
 an identifier-like token) and *instances* (the token): Spark scores contexts by the share of their
-instances that are known identifiers, instances by the contexts they stand in, and again. Contexts of
-high confidence then mark the unseen instances that follow them. Nothing but expressions and joins.
+instances that are known identifiers, instances by the contexts they stand in, and again, so that what one
+context discovers lets others be discovered. Contexts of high confidence then mark the unseen instances that
+follow them. Secrets (keys, tokens, passwords) have no base pattern: long tokens of mixed letters and digits
+are their seeds. Nothing but expressions and joins.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from quire.llm.common import let, lookup_join, totals_before, whole_text
 from quire.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: With the kind that only the method finds.
+ALL_KINDS = (*KINDS, "secret")
 
 #: The kinds' patterns. Possessive quantifiers and the look-behinds change no match; they keep the
 #: search linear and without recursion in texts of any length.
@@ -39,13 +43,26 @@ SHAPES = {
     "ip": r"^[0-9]{1,3}([.-][0-9]{1,3}){3}$",
     "card": r"^[0-9](?:[\x20.-]?[0-9]){12,18}$",
     "phone": r"^[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}$",
+    "secret": r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9._+-]{8,}$",
 }
+#: Keys that their issuers' format gives away wherever they stand. Public key formats.
+KEY_FORMAT = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,})$"
+#: Tokens that look random enough to be seeds of secrets, if they hold this many different characters.
+RANDOM = (
+    r"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128}"
+    r"|(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9_-]{20,})$"
+)
+DIFFERENT = 8
+#: Words whose tokens are as random and no secret.
+PUBLIC = r"(?<![a-z])(?:commit|revision|rev|sha[0-9]*|md5|hash|checksum|digest|crc|uuid|guid|etag|isbn|doi|id)(?![a-z])"
 #: Scoring rounds; confidence and distinct known instances a context needs to discover others.
 ROUNDS = 3
 CONFIDENT = 0.8
 LEAST_KNOWN = 5
-#: Confidence a context needs to pass score on to its instances while rounds go on.
+#: Confidence a context needs to pass score on to its instances while rounds go on, and the score from
+#: which an instance counts as known in the rounds after the first.
 WORKING = 0.3
+KNOWN = 0.8
 
 #: Types of span arrays.
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -111,8 +128,10 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _context(left: Column) -> Column:
-    """The word (with punctuation) before a token, lower case, digits alike; empty at a line's start."""
-    return F.regexp_replace(F.lower(F.regexp_extract(left, r"([^\s\"'(<]{1,64})[\s\"'(<]*$", 1)), "[0-9]", "0")
+    """The word before a token, with punctuation that stands between, lower case, digits and spaces alike; empty
+    at a line's start."""
+    word = F.regexp_extract(left, r"([^\s\"'(<]{1,64}(?:\s{1,4}[=:>-]{1,2})?)[\s\"'(<]*$", 1)
+    return F.regexp_replace(F.regexp_replace(F.lower(word), "[0-9]", "0"), r"\s+", " ")
 
 
 def _trimmed(value: Column) -> Column:
@@ -120,14 +139,16 @@ def _trimmed(value: Column) -> Column:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``doc_id, _row, context, value, start`` of every identifier-like token that follows a word."""
+    """``doc_id, _row, context, value, start`` of every identifier-like token that follows a word, and of keys."""
     found = F.transform(
         found_spans(F.col("text"), CANDIDATE, None),
         lambda s: F.struct(
             _context(s["left"]).alias("context"), _trimmed(s["value"]).alias("value"), s["start"].alias("start")
         ),
     )
-    kept = F.filter(found, lambda s: (s["context"] != "") & (F.length(s["value"]) >= 5))
+    kept = F.filter(
+        found, lambda s: (F.length(s["value"]) >= 5) & ((s["context"] != "") | s["value"].rlike(KEY_FORMAT))
+    )
     return rows.select("doc_id", "_row", F.inline(kept))
 
 
@@ -139,6 +160,13 @@ def _known_kind(value: Column) -> Column:
     return kind
 
 
+def _seed_kind(value: Column) -> Column:
+    """The known kind of a value, or secret where it looks random."""
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT
+    secret = value.rlike(KEY_FORMAT) | (value.rlike(RANDOM) & varied)
+    return F.coalesce(_known_kind(value), F.when(secret, "secret"))
+
+
 def _shaped(kind: Column, value: Column) -> Column:
     out = F.lit(False)
     for k, shape in SHAPES.items():
@@ -150,12 +178,14 @@ def confident_contexts(found: DataFrame) -> DataFrame:
     """``context, kind``: contexts of enough confidence after ROUNDS rounds over the graph.
 
     A context's confidence in a kind is the mean score of its distinct instances, an instance's score
-    one minus the product of its contexts' doubts; known instances keep score 1. Counts cover all
-    documents; a context or instance of very many edges is joined in splittable parts.
+    one minus the product of its contexts' doubts; seeds keep score 1. A context needs ``LEAST_KNOWN``
+    instances of score ``KNOWN``: seeds in the first round, then also what was discovered. Words that name
+    public numbers are no contexts of secrets. Counts cover all documents; a context or instance of
+    very many edges is joined in splittable parts.
     """
-    edges = materialize(found.select("context", "value").distinct())
+    edges = materialize(found.where("context <> ''").select("context", "value").distinct())
     seeds = materialize(
-        edges.select("value").distinct().withColumn("kind", _known_kind(F.col("value"))).where("kind is not null")
+        edges.select("value").distinct().withColumn("kind", _seed_kind(F.col("value"))).where("kind is not null")
         .select("value", "kind", F.lit(1.0).alias("score"))
     )
     degree = edges.groupBy("context").agg(F.count("*").alias("degree"))
@@ -164,8 +194,9 @@ def confident_contexts(found: DataFrame) -> DataFrame:
         sums = (
             edges.join(scores, "value")
             .groupBy("context", "kind")
-            .agg(F.sum("score").alias("sum"), F.sum(F.when(F.col("score") == 1, 1).otherwise(0)).alias("known"))
+            .agg(F.sum("score").alias("sum"), F.count(F.when(F.col("score") >= KNOWN, 1)).alias("known"))
             .where((F.col("sum") > 1) & (F.col("known") >= LEAST_KNOWN))
+            .where((F.col("kind") != "secret") | ~F.col("context").rlike(PUBLIC))
         )
         contexts = materialize(
             sums.join(degree, "context")
@@ -191,9 +222,11 @@ def found_personal_data(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     rows = docs.select("doc_id", *keep, whole_text().alias("text")).withColumn("_row", F.xxhash64("text"))
     found = materialize(candidates(rows))
     chosen = confident_contexts(found)
+    keys = found.where(F.col("value").rlike(KEY_FORMAT)).withColumn("kind", F.lit("secret"))
     marked = (
         found.join(chosen, "context")
         .where(_shaped(F.col("kind"), F.col("value")) & _known_kind(F.col("value")).isNull())
+        .unionByName(keys)
         .select("doc_id", "_row", "kind", "start", (F.col("start") + F.length("value")).cast("bigint").alias("end"))
     )
     # Spans of one document at most; equal rows have equal spans, gathered once.
@@ -207,7 +240,7 @@ def found_personal_data(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     both = F.concat("base", free)
-    ordered = let(both, lambda all_: F.flatten(F.array(*(_of_kind(all_, k) for k in KINDS))))
+    ordered = let(both, lambda all_: F.flatten(F.array(*(_of_kind(all_, k) for k in ALL_KINDS))))
     return joined.select("doc_id", *keep, "text", "base", ordered.alias("spans"))
 
 

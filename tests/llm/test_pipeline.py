@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pytest
@@ -56,7 +57,8 @@ def test_stages_follow_one_another(spark, sf_dir, tmp_path):
     source = {r.doc_id: r for r in before.collect()}
     for r in after.collect():
         spans = sorted((a, b, k) for k, v in brute.base_spans(source[r.doc_id].text or "").items() for a, b in v)
-        assert r.n_chars == len(r.text) and (bool(spans) == (r.text != source[r.doc_id].text))
+        changed = r.text != source[r.doc_id].text  # without a base span, by one that a context discovered
+        assert r.n_chars == len(r.text) and (changed if spans else not changed or re.search("<[A-Z]+>", r.text))
         assert not any(brute.base_spans(r.text).values())
 
     before, after = results["source_mixing"]
