@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a lookup table up to which it is broadcast; above, the same join is shuffled.
 BROADCAST_ROWS = 100_000
-#: Rows of an Arrow batch: texts can be long, so a batch holds few of them.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch: texts can be long, so a batch holds few of them.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: What Python workers remember of words, by the module that does, and how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
 
 
 @lru_cache(maxsize=None)
@@ -33,6 +35,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if path not in spark.sparkContext._jsc.sc().addedFiles().toString():
         spark.sparkContext.addPyFile(path)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
@@ -42,10 +45,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 def map_rows(
     df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str
 ) -> DataFrame:
-    """``df.mapInArrow`` for a function from column lists to column lists, one batch at a time."""
+    """``df.mapInArrow`` for a function from column lists to column lists, one batch at a time.
+
+    Workers live on from job to job; a task first forgets what other modules' tasks have left there.
+    """
+    module = rows.__module__
     names = [part.split()[0] for part in schema.split(", ")]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, forget in MEMORIES.items():
+            if owner != module:
+                forget()
         for out in rows(batch.to_pydict() for batch in source):
             yield pa.RecordBatch.from_pydict({name: out[name] for name in names}, types)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows, prepare
+from quire.llm.common import MEMORIES, map_rows, prepare
 from quire.session import materialize
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -96,6 +96,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+MEMORIES[__name__] = encoder.cache_clear
+
+
 def tokenized_pieces(
     docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID
 ) -> DataFrame:

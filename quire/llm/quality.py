@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows, prepare
+from quire.llm.common import MEMORIES, map_rows, prepare
 from quire.llm.rules import COMMON
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -107,6 +107,9 @@ def lexicon() -> Lexicon:
     return Lexicon()
 
 
+MEMORIES[__name__] = lexicon.cache_clear
+
+
 def _votes_below(value: float, good: float, bad: float) -> int:
     """Good up to one bound, bad from another on."""
     return GOOD if value <= good else BAD if value >= bad else ABSTAIN
