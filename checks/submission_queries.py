@@ -676,3 +676,118 @@ def run_layer1_twice(spark, d):
     ):
         out = out.join(table, "submission_id", "left")
     return out.fillna(0, ["n_sections", "n_blocks", "n_claims", "n_nodes"])
+
+
+#: Rows of declared tables, in SQL that both engines read.
+DECLARED = {
+    "users": (
+        "customer",
+        "CAST(c_custkey AS STRING) AS id, CAST(c_custkey % 400 AS STRING) AS email,"
+        " CASE WHEN c_custkey % 50 = 0 THEN 'owner' ELSE 'user' END AS global_role",
+    ),
+    "courses": (
+        "supplier",
+        "CAST(s_suppkey AS STRING) AS id, CAST(s_nationkey AS STRING) AS code, CAST(s_suppkey % 2 AS STRING) AS term,"
+        " CASE WHEN s_suppkey % 9 = 0 THEN 'gone' ELSE 'active' END AS status,"
+        " CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey * 31 AS STRING) END AS created_by",
+    ),
+    "projects": (
+        "part",
+        "CAST(p_partkey AS STRING) AS id, CAST(p_partkey % 15 AS STRING) AS course_id, 'open' AS status,"
+        " p_size - 1 AS max_score, CAST(p_partkey * 2 AS STRING) AS created_by",
+    ),
+    "rubric_versions": (
+        "customer",
+        "CAST(c_custkey AS STRING) AS id, CAST(c_custkey AS STRING) AS project_id, c_nationkey AS version_no,"
+        " CASE WHEN c_custkey % 6 = 0 THEN 'published' ELSE 'draft' END AS status, CAST(NULL AS TIMESTAMP) AS published_at,"
+        " CAST(NULL AS STRING) AS created_by",
+    ),
+    "submissions": (
+        "orders",
+        "CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS project_id, CAST(o_custkey AS STRING) AS group_id,"
+        " CAST(o_orderkey % 7 AS STRING) AS submitted_by_user_id,"
+        " CAST(o_custkey + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS STRING) AS rubric_version_id,"
+        " o_orderkey % 3 AS attempt_no, CASE WHEN o_orderkey % 4 = 0 THEN concat('k', CAST(o_custkey AS STRING)) END"
+        " AS idempotency_key, CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE 'completed' END AS status",
+    ),
+    "artifacts": (
+        "lineitem",
+        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, CAST(l_orderkey + CASE WHEN"
+        " l_partkey % 97 = 0 THEN 1000000 ELSE 0 END AS STRING) AS submission_id,"
+        " CASE WHEN l_partkey % 41 = 0 THEN 'scan' ELSE 'report_pdf' END AS kind, l_linenumber - 1 AS version_no,"
+        " CAST(l_quantity AS BIGINT) - 2 AS byte_size, CASE WHEN l_suppkey % 7 = 0 THEN 'x' ELSE repeat('a', 64) END"
+        " AS sha256, concat('u', CAST(l_partkey AS STRING)) AS object_uri",
+    ),
+    "pipeline_runs": (
+        "events",
+        "CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS submission_id, 'L1' AS pipeline, 1 AS attempt_no,"
+        " CAST(event_id % 10 AS STRING) AS input_fingerprint,"
+        " CASE event_type WHEN 'error' THEN 'broken' ELSE 'succeeded' END AS status",
+    ),
+}
+BROKEN = {
+    "users global_role": "global_role NOT IN ('user', 'admin')",
+    "courses status": "status NOT IN ('draft', 'active', 'archived')",
+    "projects max_score": "max_score <= 0",
+    "rubric_versions version_no": "version_no <= 0",
+    "rubric_versions published_at": "status = 'published' AND published_at IS NULL",
+    "submissions attempt_no": "attempt_no <= 0",
+    "submissions status": "status = 'pending'",
+    "artifacts kind": "kind = 'scan'",
+    "artifacts version_no": "version_no <= 0",
+    "artifacts byte_size": "byte_size < 0",
+    "artifacts sha256": "sha256 = 'x'",
+    "pipeline_runs status": "status = 'broken'",
+}
+KEYS = """users id; users email; courses id; courses code term; projects id; projects course_id; rubric_versions id;
+    rubric_versions project_id version_no; submissions id; submissions project_id group_id attempt_no;
+    submissions idempotency_key; artifacts id; artifacts object_uri version_no;
+    artifacts submission_id kind version_no sha256; pipeline_runs id;
+    pipeline_runs submission_id pipeline input_fingerprint attempt_no"""
+REFERENCES = """courses created_by = users id; projects course_id = courses id; projects created_by = users id;
+    rubric_versions project_id = projects id; submissions project_id = projects id;
+    submissions submitted_by_user_id = users id; submissions rubric_version_id project_id = rubric_versions id project_id;
+    artifacts submission_id = submissions id; pipeline_runs submission_id = submissions id"""
+
+
+def _audit_sql() -> str:
+    def value(columns: list[str]) -> str:
+        return f"to_json([{', '.join(f'{c}::VARCHAR' for c in columns)}])::VARCHAR"
+
+    def whole(columns: list[str]) -> str:
+        return " AND ".join(f"{c} IS NOT NULL" for c in columns)
+
+    parts = []
+    for what, condition in BROKEN.items():
+        table, rule = what.split()
+        parts.append(f"SELECT '{table}' AS \"table\", 'check' AS kind, '{rule}' AS rule, NULL::VARCHAR AS value, count(*) AS n"
+                     f" FROM d_{table} WHERE {condition} HAVING count(*) > 0")
+    for what in KEYS.split(";"):
+        table, *columns = what.split()
+        parts.append(f"SELECT '{table}', 'unique', '{' '.join(columns)}', {value(columns)}, count(*) FROM d_{table}"
+                     f" WHERE {whole(columns)} GROUP BY {', '.join(columns)} HAVING count(*) > 1")
+    for what in REFERENCES.split(";"):
+        (table, *columns), (parent, *keys) = (side.split() for side in what.split("="))
+        same = " AND ".join(f"p.{k} = c.{c}" for k, c in zip(keys, columns))
+        parts.append(f"SELECT '{table}', 'foreign', '{' '.join(columns)}', {value(columns)}, count(*) FROM d_{table} c"
+                     f" WHERE {whole(columns)} AND NOT EXISTS (FROM d_{parent} p WHERE {same}) GROUP BY {', '.join(columns)}")
+    tables = ", ".join(f"d_{name} AS (SELECT {columns} FROM {source})" for name, (source, columns) in DECLARED.items())
+    return f"WITH {tables} {' UNION ALL '.join(parts)}"
+
+
+@register(_audit_sql())
+def audit_tables(spark, d):
+    """Every declared check, key and reference of seven tables, each read once."""
+    tables = {name: I.table(spark, d, source).selectExpr(*_columns(sql)) for name, (source, sql) in DECLARED.items()}
+    return Q.audit_tables(tables)
+
+
+def _columns(sql: str) -> list[str]:
+    """Select items of a list whose commas at depth 0 separate them."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(sql):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(sql[last:i])
+            last = i + 1
+    return [*out, sql[last:]]

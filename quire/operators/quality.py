@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire import schemas
+
+
+class Declared(NamedTuple):
+    """Row checks by table and name, unique keys by table, and the foreign keys of a table."""
+
+    checks: Mapping[str, Mapping[str, str]] = schemas.ROW_CHECKS
+    unique: Mapping[str, Sequence[str]] = schemas.UNIQUE_KEYS
+    foreign: Callable[[str], list[tuple[str, dict[str, str]]]] = schemas.foreign_keys
+
 
 def audit_checks(df: DataFrame, key: str, rules: Mapping[str, str]) -> DataFrame:
     """``(key, rule)`` of every broken row check, all rules in one pass.
@@ -71,3 +83,54 @@ def touch_updated_at(
         F.when(F.col("_held").isNull(), now).otherwise(F.col("created_at")).alias("created_at"),
         F.when(touched, now).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*target.columns)
+
+
+def audit_tables(tables: Mapping[str, DataFrame], declared: Declared = Declared()) -> DataFrame:
+    """``table, kind, rule, value, n``: all broken checks, repeated keys and values without a parent, at once.
+
+    Every table is read once. A row states what it breaks, the key values it holds and those it refers to;
+    equal statements are counted where they arise, and one grouping by value then sees keys beside references.
+    ``kind`` is check (rows that break it), unique (rows that share a value) or foreign (rows that refer to a
+    value no parent has). Keys with a null part, and foreign keys into tables that are not given, say nothing.
+    """
+    stated = [df.select(F.explode(F.array_compact(F.array(*_statements(name, tables, declared)))).alias("s")).select("s.*")
+              for name, df in tables.items()]
+    target = ["kind", "target", "value"]
+    counted = reduce(DataFrame.unionByName, stated).groupBy(*target, "table", "rule").agg(F.count(F.lit(1)).alias("n"))
+    of = F.struct("table", "rule", "n")
+    # as many statements on one value as keys are declared, at most
+    met = counted.groupBy(*target).agg(
+        F.bool_or(F.col("table").isNull()).alias("held"), F.collect_list(F.when(F.col("table").isNotNull(), of)).alias("by")
+    )
+    broken = F.filter("by", lambda s: (F.col("kind") != "unique") | (s["n"] > 1))
+    return met.where((F.col("kind") != "foreign") | ~F.col("held")).select("kind", "value", F.explode(broken).alias("s")).select(
+        "s.table", "kind", "s.rule", "value", "s.n"
+    )
+
+
+def _statements(name: str, tables: Mapping[str, DataFrame], declared: Declared) -> list[Column]:
+    def statement(kind: str, target: str, table: str | None, rule: str | None, value: Column | None, holds: Column) -> Column:
+        parts = (F.lit(kind), F.lit(target), F.lit(table).cast("string"), F.lit(rule).cast("string"))
+        value = F.lit(None).cast("string") if value is None else value
+        names = ("kind", "target", "table", "rule")
+        return F.when(holds, F.struct(*(p.alias(n) for p, n in zip(parts, names)), value.alias("value")))
+
+    def key(columns: Sequence[str]) -> tuple[Column, Column]:
+        whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+        return F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), whole
+
+    out = []
+    for rule, condition in declared.checks.get(name, {}).items():
+        out.append(statement("check", f"{name} {rule}", name, rule, None, ~F.expr(condition)))
+    for rule in declared.unique.get(name, []):
+        value, whole = key(rule.split())
+        out.append(statement("unique", f"{name} {rule}", name, rule, value, whole))
+    for parent, columns in declared.foreign(name):
+        if parent in tables:
+            value, whole = key(list(columns))
+            out.append(statement("foreign", f"{parent} {' '.join(columns.values())}", name, " ".join(columns), value, whole))
+    referred = {tuple(cs.values()) for child in tables for parent, cs in declared.foreign(child) if parent == name}
+    for columns in sorted(referred):
+        value, whole = key(columns)
+        out.append(statement("foreign", f"{name} {' '.join(columns)}", None, None, value, whole))
+    return out

@@ -259,3 +259,23 @@ def test_older_file_that_comes_later_does_not_replace(spark, tmp_path):
     store.compact()
     store.write_batch([part("oldest", 1)], 4)
     assert [r.text for r in store.read("t").collect()] == ["same time, later"]
+
+
+def test_audit_of_all_tables_at_once(spark, sf_dir):
+    declared = Q.Declared(
+        {"a": {"size": "n >= 0"}, "b": {}},
+        {"a": ["id", "n tag"], "b": ["id"]},
+        {"a": [], "b": [("a", {"a_id": "id"}), ("gone", {"a_id": "id"})]}.get,
+    )
+    a = spark.createDataFrame([("x", 1, "t"), ("x", 1, "t"), ("y", -1, None), (None, 1, "u")], "id STRING, n INT, tag STRING")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "z"), (3, None)], "id INT, a_id STRING")
+    got = sorted(tuple(r) for r in Q.audit_tables({"a": a, "b": b}, declared).select("table", "kind", "rule", "value", "n").collect())
+    assert got == [
+        ("a", "check", "size", None, 1), ("a", "unique", "id", '["x"]', 2), ("a", "unique", "n tag", '["1","t"]', 2),
+        ("b", "foreign", "a_id", '["z"]', 2), ("b", "unique", "id", '["3"]', 2),
+    ]
+    assert Q.audit_tables({"a": a.limit(0), "b": b.limit(0)}, declared).isEmpty()
+    from checks.registry import QUERIES
+
+    plan = QUERIES["audit_tables"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 7 and "Join" not in plan
