@@ -317,3 +317,41 @@ def test_report_reruns_are_equal(spark, sf_dir):
         return sorted(r.id for r in built.blocks.select("id").collect())
 
     assert run() == run()
+
+
+def test_large_files_are_read_by_splits_and_oversized_ones_not_at_all(spark, tmp_path):
+    def line(*blocks):
+        pages = [{"prunedResult": {"parsing_res_list": b}} for b in blocks]
+        return json.dumps({"result": {"layoutParsingResults": pages}})
+
+    def block(text):
+        return [{"block_label": "text", "block_content": text, "block_bbox": [0, 0, 1, 1]}]
+
+    rng, want = random.Random(7), {}
+    for name in ("a", "b", "c d+e%"):
+        lines, pages = [], []
+        for i in range(300):
+            texts = [f"{name} {i} {k} " + "x" * rng.randint(0, 300) for k in range(rng.randint(0, 3))]
+            lines.append(line(*map(block, texts)) if texts else rng.choice(["", "   ", "\t"]))
+            pages += texts
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+        want[name] = pages
+    (tmp_path / "empty.jsonl").write_text("\n \n")
+    (tmp_path / "huge.jsonl").write_text(line(block("y" * 400_000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "8192")
+        pages = read_layout_pages(spark, str(tmp_path), max_bytes=300_000).cache()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        rows = pages.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted((r for r in rows if r.page_no), key=lambda r: (r.artifact_id, r.page_no)):
+        got.setdefault(r.artifact_id, []).append((r.page_no, json.loads(r.page_json)["parsing_res_list"][0]["block_content"]))
+    assert got == {k: list(enumerate(v, 1)) for k, v in want.items()}
+    assert {(r.artifact_id, r.page_json) for r in rows if not r.page_no} == {("empty", None), ("huge", None)}
+    _, rejects = L.audit_layout_output(pages, 300_000)
+    assert {(r.unit_id, r.message) for r in rejects.collect()} == {("huge", "output exceeds quota"), ("empty", "no pages")}
