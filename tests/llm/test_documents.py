@@ -506,3 +506,81 @@ def test_no_documents(no_documents):
 
 def test_registered_names():
     assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+
+
+def plain_posteriors(counts: dict[int, int]) -> dict[int, float]:
+    """Expectation-maximisation over documents one by one: each pattern as often as it was counted."""
+    from math import exp, log
+
+    rows = [[p // 3**i % 3 for i in range(quality.N_LABELLERS)] for p, n in sorted(counts.items()) for _ in range(n)]
+    good = [0.1 if quality.BAD in v else 0.9 if quality.GOOD in v else 0.5 for v in rows]
+    for _ in range(quality.ROUNDS):
+        share = min(max((sum(good) + 1) / (len(rows) + 2), 1e-6), 1 - 1e-6)
+        chance = []
+        for of in (good, [1 - g for g in good]):
+            each = []
+            for i in range(quality.N_LABELLERS):
+                said = [1 + sum(w for w, v in zip(of, rows) if v[i] == vote) for vote in (0, 1)]
+                each.append([x / sum(said) for x in said])
+            chance.append(each)
+        after = []
+        for v in rows:
+            margin = log(share) - log(1 - share)
+            for i, vote in enumerate(v):
+                if vote != quality.ABSTAIN:
+                    margin += log(chance[0][i][vote]) - log(chance[1][i][vote])
+            after.append(1 / (1 + exp(-max(min(margin, 500), -500))))
+        moved = max(abs(a - b) for a, b in zip(after, good))
+        good = after
+        if moved < 1e-6:
+            break
+    return {quality.pattern_of(tuple(v)): g for v, g in zip(rows, good)}
+
+
+def test_posteriors_equal_plain():
+    rng = np.random.default_rng(12)
+    counts = Counter()
+    for _ in range(400):  # labellers of different accuracy, abstaining at times
+        truth = rng.random() < 0.8
+        votes = [2 if rng.random() < 0.3 else int(truth if rng.random() < 0.6 + 0.05 * i else not truth) for i in range(quality.N_LABELLERS)]
+        counts[quality.pattern_of(tuple(votes))] += 1
+    got, want = quality.fit_labellers(counts), plain_posteriors(counts)
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+
+
+def plain_scorer(rows: list[tuple[list[int], list[float]]], target: list[float]) -> dict[int, float]:
+    """The same adaptive steps on the logistic loss, weight by weight; the bias has number BUCKETS."""
+    from math import exp, sqrt
+
+    weight, speed, bias = {}, {}, quality.BUCKETS
+    for _ in range(quality.STEPS):
+        slope = {}
+        for (buckets, values), t in zip(rows, target):
+            margin = sum(v * weight.get(b, 0.0) for b, v in zip(buckets, values)) + weight.get(bias, 0.0)
+            error = 1 / (1 + exp(-max(min(margin, 30), -30))) - t
+            for b, v in [*zip(buckets, values), (bias, 1.0)]:
+                slope[b] = slope.get(b, 0.0) + v * error / len(rows)
+        for b, g in slope.items():
+            g += 1e-5 * weight.get(b, 0.0) * (b != bias)
+            speed[b] = speed.get(b, 1e-8) + g * g
+            weight[b] = weight.get(b, 0.0) - 0.5 * g / sqrt(speed[b])
+    return weight
+
+
+def test_scorer_equals_plain(spark):
+    """Trained weights, and with them the score of every text, as by plain sums."""
+    from math import exp
+
+    texts = ["the plan of the town is good to read", "BUY NOW $$$ BUY NOW $$$ 12 34 56", "a a a a a a a a", "words and words, 7 of them."]
+    found = [quality.features(quality.Measures.of(t)) for t in texts]
+    rows = [(b.tolist(), v.astype("float32").astype(float).tolist()) for b, v in found]
+    target = [0.9, 0.1, 0.2, 0.8]
+    sizes, bucket, value = np.array([len(b) for b, _ in rows]), np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
+    weights = quality.train(sizes, bucket, value, np.array(target))
+    want = plain_scorer(rows, target)
+    assert all(abs(weights[b] - w) < 1e-6 for b, w in want.items()) and np.count_nonzero(weights) <= len(want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in quality.scored(docs, weights).collect():
+        b, v = found[r.doc_id]
+        score = 1 / (1 + exp(-(sum(x * weights[i] for i, x in zip(b, v)) + weights[-1])))
+        assert abs(r.quality_score - score) < 1e-9 and r.kept == (r.quality_score >= 0.5)
