@@ -176,3 +176,50 @@ def op8(turns: list[tuple[str, str]]) -> tuple:
     whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     loss = "".join(t for r, t in turns if r == "assistant")
     return len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def op9_distances(rows: list[tuple], common: dict, classes: dict, guards: tuple, most: tuple, trims: tuple) -> list[tuple]:
+    """(class distance, common-word distance, kept) of (lang, text) rows, all documents held in memory."""
+    from math import log2, sqrt
+
+    def measure(lang: str | None, text: str | None) -> tuple:
+        text = text or ""
+        words = re.findall(f"[^{SPACE}]+", text)
+        kinds = [len(re.findall(f"[{c}]".replace("\\x{10FFFF}", "\U0010ffff"), text)) for c in classes.values()]
+        seen = [sum(w.lower() == v for w in words) for v in common.get(lang or "", [])]
+        return len(text), len(words), [*kinds, len(text) - sum(kinds)], [*seen, len(words) - sum(seen)]
+
+    def distance(a: list[int], b: list[int]) -> float | None:
+        if not sum(a) or not sum(b):
+            return None
+        p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        parts = [(x * log2(2 * x / (x + y)) if x else 0) + (y * log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)]
+        return sqrt(max(sum(parts) / 2, 0))
+
+    measured = [measure(lang, text) for lang, text in rows]
+    failed = [op9(text)[-1] for _, text in rows]
+
+    def compared(sound: list[int]) -> list[tuple]:
+        held: dict[str, list] = {}
+        for i in sound:
+            if not failed[i]:
+                _, _, kinds, seen = measured[i]
+                old = held.setdefault(rows[i][0] or "", [[0] * len(kinds), [0] * len(seen)])
+                held[rows[i][0] or ""] = [[x + y for x, y in zip(a, b)] for a, b in zip(old, (kinds, seen))]
+        out = []
+        for (lang, _), (chars, words, kinds, seen) in zip(rows, measured):
+            if words < guards[0] or chars < guards[1] or (lang or "") not in held:
+                out.append((None, None))
+                continue
+            ref = held[lang or ""]
+            out.append((distance(kinds, ref[0]), distance(seen, ref[1]) if len(seen) > 1 else None))
+        return out
+
+    def far(found: tuple, limits: tuple) -> bool:
+        return (found[0] or 0) > limits[0] or (found[1] or 0) > limits[1]
+
+    sound = list(range(len(rows)))
+    for limits in trims:
+        found = compared(sound)
+        sound = [i for i in range(len(rows)) if not far(found[i], limits)]
+    return [(*f, not bad and not far(f, most)) for f, bad in zip(compared(sound), failed)]

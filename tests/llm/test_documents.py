@@ -584,3 +584,17 @@ def test_scorer_equals_plain(spark):
         b, v = found[r.doc_id]
         score = 1 / (1 + exp(-(sum(x * weights[i] for i, x in zip(b, v)) + weights[-1])))
         assert abs(r.quality_score - score) < 1e-9 and r.kept == (r.quality_score >= 0.5)
+
+
+def test_distances_and_verdicts_equal_plain(docs):
+    """Class and common-word histograms, references trimmed twice, and what is kept for it."""
+    guards = rules.LEAST_WORDS, rules.LEAST_CHARS
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect()]
+    plain = brute.op9_distances([r[1:] for r in rows], rules.COMMON, rules.CLASSES, guards, rules.MOST_DISTANCE, rules.TRIMS)
+
+    def near(x: float | None) -> float | None:
+        return None if x is None else round(x, 6)
+
+    want = Counter((d, near(a), near(b), kept) for (d, _, _), (a, b, kept) in zip(rows, plain))
+    got = rules.judged(docs).select("doc_id", "class_distance", "common_distance", "kept").collect()
+    assert Counter((r[0], near(r[1]), near(r[2]), r[3]) for r in got) == want
