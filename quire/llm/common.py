@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -47,20 +49,48 @@ def map_rows(
 ) -> DataFrame:
     """``df.mapInArrow`` for a function from column lists to column lists, one batch at a time.
 
-    Workers live on from job to job; a task first forgets what other modules' tasks have left there.
+    Workers live on from job to job: a task first forgets what other modules' tasks have left there, and gives
+    freed memory back at its end.
     """
-    module = rows.__module__
     names = [part.split()[0] for part in schema.split(", ")]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, forget in MEMORIES.items():
-            if owner != module:
-                forget()
         for out in rows(batch.to_pydict() for batch in source):
             yield pa.RecordBatch.from_pydict({name: out[name] for name in names}, types)
 
     types = _arrow_schema(df.sparkSession, schema)
-    return df.mapInArrow(batches, schema)
+    return map_batches(df, batches, schema, rows.__module__)
+
+
+def map_batches(
+    df: DataFrame,
+    batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+    module: str | None = None,
+) -> DataFrame:
+    """``df.mapInArrow`` with workers that keep no more memory than they need: see ``map_rows``."""
+    owner = module or batches.__module__
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forget in MEMORIES.items():
+            if other != owner:
+                forget()
+        release()
+        try:
+            yield from batches(source)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system, where the platform lets it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
