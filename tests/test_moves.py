@@ -42,6 +42,14 @@ def test_many_repeated_ids_give_the_same_edges(spark, monkeypatch):
     assert sorted(G.dedupe_edges(edges)[0].collect()) == few
 
 
+def test_positions_need_one_move_of_the_rows(spark):
+    rows = materialize(spark.range(5000).selectExpr("id % 2 AS unit", "sha2(CAST(id AS STRING), 256) AS at", "id AS v"))
+    placed = position_in_unit(rows, ["unit"], ["at"], segments=16, keep=["unit", "v"])
+    assert "Window" not in _plan(placed)  # rows are numbered where the ranges put them
+    expected = [(u, r.v, i + 1) for u in (0, 1) for i, r in enumerate(rows.where(F.col("unit") == u).orderBy("at").collect())]
+    assert sorted(map(tuple, placed.collect())) == sorted(expected)
+
+
 def test_written_digests_take_half_their_length(spark):
     table = materialize(spark.range(20_000).selectExpr("sha2(CAST(id AS STRING), 256) AS id"))
     files = table.inputFiles()
