@@ -50,6 +50,18 @@ def test_positions_need_one_move_of_the_rows(spark):
     assert sorted(map(tuple, placed.collect())) == sorted(expected)
 
 
+def test_elements_of_long_lists_do_not_meet_their_numbers_in_a_join(spark):
+    edges = materialize(_edges(spark, 980))
+    files = spark.createDataFrame([(1, "a.py", 9)], "graph_id LONG, path STRING, line_count INT")
+    nodes = edges.limit(0).selectExpr("graph_id", "id", "rule AS kind", "rule AS name", "location", "provenance", "confidence", "reason", "rule")
+    parts = graph_parts(nodes, edges, files, rows=100)
+    assert "at_0#" not in _plan(parts.where("part = 'edges' AND part_no > 0")).split("== Physical Plan ==")[1]
+    listed = parts.where("part = 'edges' AND graph_id = 1").orderBy("part_no").collect()
+    assert [r.part_no for r in listed] == [0, 1, 2, 3]
+    found = [i for r in listed for i in spark.sql("SELECT from_json('[' || :j || ']', 'ARRAY<STRUCT<id: STRING>>').id AS i", {"j": r.json}).first().i]
+    assert found == sorted(r.id for r in edges.where("graph_id = 1").collect())
+
+
 def test_written_digests_take_half_their_length(spark):
     table = materialize(spark.range(20_000).selectExpr("sha2(CAST(id AS STRING), 256) AS id"))
     files = table.inputFiles()
