@@ -318,11 +318,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) ->
 # --- whole documents ----------------------------------------------------------------------------
 
 
+def fingerprint_pairs(texts: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
+    """``x, y`` (x < y): ids of ``texts(id, text)`` that span the components of linked fingerprints."""
+    found = materialize(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), shingle))
+    values = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    only = values.select("fp")
+    links = near_links(only, search_plan(only, tau), tau)
+    a, b = (values.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id")) for c in "ab")
+    across = links.join(a, "a").join(b, "b").select("a_id", "b_id")
+    within = found.join(values, "fp").where("doc_id <> first").select(F.col("first"), "doc_id")
+    pairs = across.union(within).toDF("a", "b")
+    return materialize(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+
+
 def deduplicated(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one document, that of smallest id, of each group of near duplicates.
 
-    Equal texts are one node. All pairs of texts whose shingles are ``similar`` are linked, and each
-    component of links keeps one document. Every link is verified on whole texts, so chance never joins
+    Equal texts are one node. Texts whose SimHash fingerprints are linked are proposed and held against each other
+    first; what bits cannot tell, all other pairs whose shingles are ``similar``, is searched after them among
+    texts not joined yet. Each component of links keeps one document. Every link is verified on whole texts, so chance never joins
     two documents. A text without a word equals any other without one. Of rows that share the kept
     id and text one stays; null ids come last. All columns of ``docs`` pass through. No rows give no rows.
     """
@@ -350,7 +364,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR)
     def lost() -> DataFrame:
         texts = one_row_each(lookup_join(keyed, copies, key, "left_anti"))
         texts = texts.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), "text")
-        return similar_roots(texts, words, similar).where("node <> root").select(F.col("node").alias("_id"))
+        return similar_roots(texts, words, similar, fingerprint_pairs(texts)).where("node <> root").select(F.col("node").alias("_id"))
 
     kept = nodes.join(materialize_alone(spark, lost), "_id", "left_anti").select(*key)
     gone = materialize(rows_of.join(kept, key, "left_anti").select(*key))

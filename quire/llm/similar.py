@@ -342,10 +342,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return map_rows(dealt, rows, "a bigint, b bigint")
 
 
-def similar_roots(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+def similar_roots(
+    texts: DataFrame, words: int = WORDS, similar: float = SIMILAR, proposed: DataFrame | None = None
+) -> DataFrame:
     """``node, root`` of the components of all pairs of ``texts(id, digest, text)`` that are ``similar``.
 
-    Ids are unique. In rounds, every text proposes ever more of its candidates in other components, until
+    Ids are unique. Pairs ``proposed(x, y)``, x < y, by another method are verified first. Then, in rounds, every text proposes ever more of its candidates in other components, until
     no cell has a pair left that is not tried or joined already.
     """
     common, rank = common_shingles(texts, texts.count(), words)
@@ -355,6 +357,9 @@ def similar_roots(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR
     spark = texts.sparkSession
     roots = spark.createDataFrame([], "node bigint, root bigint")
     links = tried = None
+    if proposed is not None and not proposed.isEmpty():
+        links = materialize(_verified(proposed, texts, words, similar).distinct())
+        tried, roots = proposed, materialize(connected_components(links))
     lo, hi = 0, FIRST
     while True:
         found = materialize(_proposed(cells, sketches, roots, lo, hi, similar))
