@@ -10,7 +10,7 @@ from quire.operators.submissions import REPORT, SOURCE
 from quire.plans.report import audited_report_tables
 from quire.session import materialize, scratch_scope
 from quire.sources.layout import pages_of
-from quire.sources.sinks import block_rows, section_rows
+from quire.sources.sinks import block_part, section_part
 from quire.sources.store import KeyedTable, Part, Store
 
 
@@ -140,12 +140,13 @@ def stream_layer1(
             files = materialize(newest_files(df))
             built = audited_report_tables(pages_of(files.drop("modified_at")))
             units = files.select("artifact_id", F.unix_millis("modified_at").alias("as_of"))
-            tables = {
-                "document_sections": section_rows(built.sections),
-                "document_blocks": block_rows(built.blocks, parser_version),
-                "rejects": built.rejects.withColumnRenamed("unit_id", "artifact_id"),
-            }
-            store.write_batch([Part(name, rows, "artifact_id", units) for name, rows in tables.items()], batch_id)
+            rejects = built.rejects.withColumnRenamed("unit_id", "artifact_id")
+            parts = [
+                section_part(built.sections, units),
+                block_part(built.blocks, parser_version, units),
+                Part("rejects", rejects, "artifact_id", units),
+            ]
+            store.write_batch(parts, batch_id)
         if len(store.runs()) > COMPACT_AFTER:
             store.compact()
             store.vacuum(RETAINED_S)
