@@ -89,48 +89,81 @@ def audit_tables(tables: Mapping[str, DataFrame], declared: Declared = Declared(
     """``table, kind, rule, value, n``: all broken checks, repeated keys and values without a parent, at once.
 
     Every table is read once. A row states what it breaks, the key values it holds and those it refers to;
-    equal statements are counted where they arise, and one grouping by value then sees keys beside references.
+    statements on one value are counted in one grouping, in which keys meet references. A statement is two numbers
+    and the value, and what is counted are numbers, so the grouping is by hash.
     ``kind`` is check (rows that break it), unique (rows that share a value) or foreign (rows that refer to a
     value no parent has). Keys with a null part, and foreign keys into tables that are not given, say nothing.
     """
-    stated = [df.select(F.explode(F.array_compact(F.array(*_statements(name, tables, declared)))).alias("s")).select("s.*")
-              for name, df in tables.items()]
-    target = ["kind", "target", "value"]
-    counted = reduce(DataFrame.unionByName, stated).groupBy(*target, "table", "rule").agg(F.count(F.lit(1)).alias("n"))
-    of = F.struct("table", "rule", "n")
-    # as many statements on one value as keys are declared, at most
-    met = counted.groupBy(*target).agg(
-        F.bool_or(F.col("table").isNull()).alias("held"), F.collect_list(F.when(F.col("table").isNotNull(), of)).alias("by")
+    said = {name: _statements(name, tables, declared) for name in tables}
+    targets: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for statements in said.values():
+        for s in statements:
+            says = targets.setdefault((s.kind, s.target), [])
+            if s.says and s.says not in says:
+                says.append(s.says)
+    number = {target: i for i, target in enumerate(targets)}
+    slots = max((len(says) for says in targets.values()), default=0)
+
+    def stated(name: str, df: DataFrame) -> DataFrame:
+        """``target``, its number; ``slot``, who says it, -1 for the one that holds the value; ``value``."""
+        rows = [
+            F.when(s.holds, F.struct(
+                F.lit(number[s.kind, s.target]).alias("target"),
+                F.lit(targets[s.kind, s.target].index(s.says) if s.says else -1).alias("slot"),
+                s.value.alias("value"),
+            ))
+            for s in said[name]
+        ]
+        return df.select(F.explode(F.array_compact(F.array(*rows))).alias("s")).select("s.*")
+
+    met = reduce(DataFrame.unionByName, (stated(name, df) for name, df in tables.items() if said[name])).groupBy(
+        "target", "value"
+    ).agg(
+        F.max(F.col("slot") == -1).alias("held"), *(F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(slots))
     )
-    broken = F.filter("by", lambda s: (F.col("kind") != "unique") | (s["n"] > 1))
-    return met.where((F.col("kind") != "foreign") | ~F.col("held")).select("kind", "value", F.explode(broken).alias("s")).select(
-        "s.table", "kind", "s.rule", "value", "s.n"
+    names = F.create_map(*(
+        x for (kind, target), says in targets.items() for i, (table, rule) in enumerate(says)
+        for x in (F.lit(number[kind, target] * slots + i),
+                  F.struct(F.lit(table).alias("table"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
+    ))
+    counts = F.array(*(F.struct(F.lit(i).alias("slot"), F.col(f"n{i}").alias("n")) for i in range(slots)))
+    kinds = {k: [number[t] for t in targets if t[0] == k] for k in ("unique", "foreign")}
+    least = F.when(F.col("target").isin(*kinds["unique"]), 2).otherwise(1)
+    broken = F.filter(counts, lambda c: c["n"] >= least)
+    lost = ~F.col("target").isin(*kinds["foreign"]) | ~F.col("held")
+    return (
+        met.where(lost)
+        .select("value", "target", F.explode(broken).alias("c"))
+        .select("value", names[F.col("target") * slots + F.col("c.slot")].alias("s"), "c.n")
+        .select("s.table", "s.kind", "s.rule", "value", "n")
     )
 
 
-def _statements(name: str, tables: Mapping[str, DataFrame], declared: Declared) -> list[Column]:
-    def statement(kind: str, target: str, table: str | None, rule: str | None, value: Column | None, holds: Column) -> Column:
-        parts = (F.lit(kind), F.lit(target), F.lit(table).cast("string"), F.lit(rule).cast("string"))
-        value = F.lit(None).cast("string") if value is None else value
-        names = ("kind", "target", "table", "rule")
-        return F.when(holds, F.struct(*(p.alias(n) for p, n in zip(parts, names)), value.alias("value")))
+class _Statement(NamedTuple):
+    """What rows say of a value, where ``holds``: ``says`` is the table and rule, None if it holds the value."""
 
+    kind: str
+    target: str
+    says: tuple[str, str] | None
+    value: Column
+    holds: Column
+
+
+def _statements(name: str, tables: Mapping[str, DataFrame], declared: Declared) -> list[_Statement]:
     def key(columns: Sequence[str]) -> tuple[Column, Column]:
         whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
         return F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), whole
 
     out = []
     for rule, condition in declared.checks.get(name, {}).items():
-        out.append(statement("check", f"{name} {rule}", name, rule, None, ~F.expr(condition)))
+        out.append(_Statement("check", f"{name} {rule}", (name, rule), F.lit(None).cast("string"), ~F.expr(condition)))
     for rule in declared.unique.get(name, []):
-        value, whole = key(rule.split())
-        out.append(statement("unique", f"{name} {rule}", name, rule, value, whole))
+        out.append(_Statement("unique", f"{name} {rule}", (name, rule), *key(rule.split())))
     for parent, columns in declared.foreign(name):
         if parent in tables:
-            value, whole = key(list(columns))
-            out.append(statement("foreign", f"{parent} {' '.join(columns.values())}", name, " ".join(columns), value, whole))
+            target = f"{parent} {' '.join(columns.values())}"
+            out.append(_Statement("foreign", target, (name, " ".join(columns)), *key(list(columns))))
     referred = {tuple(cs.values()) for child in tables for parent, cs in declared.foreign(child) if parent == name}
     for columns in sorted(referred):
-        value, whole = key(columns)
-        out.append(statement("foreign", f"{name} {' '.join(columns)}", None, None, value, whole))
+        out.append(_Statement("foreign", f"{name} {' '.join(columns)}", None, *key(columns)))
     return out
