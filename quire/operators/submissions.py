@@ -54,19 +54,21 @@ def admit_submissions(
     """Project open, rubric published, user in group, in that order; then the composite keys:
     the group and the rubric belong to the project."""
     yes = F.lit(True)
-    opened = projects.filter(F.col("status") == "open").select(
-        F.col("project_id"), yes.alias("_open")
-    )
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        """Equal rows are dealt to one task before they are dropped: a file's task keeps no table of all it has read."""
+        return rows.repartition(*rows.columns).distinct()
+
+    opened = projects.filter(F.col("status") == "open").select("project_id")
     published = rubrics.filter(F.col("status") == "published").select(
         "rubric_version_id", F.col("project_id").alias("_rubric_project")
     )
-    member = members.select(
-        "group_id", F.col("user_id").alias("submitted_by_user_id"), yes.alias("_member")
-    ).distinct()
-    groups = members.select("group_id", "project_id", yes.alias("_own_group")).distinct()
+    member = distinct(members.select("group_id", F.col("user_id").alias("submitted_by_user_id")))
+    member = member.withColumn("_member", yes)
+    groups = distinct(members.select("group_id", "project_id")).withColumn("_own_group", yes)
     joined = (
-        submissions.join(opened.distinct(), "project_id", "left")
-        .join(published.distinct(), "rubric_version_id", "left")
+        submissions.join(distinct(opened).withColumn("_open", yes), "project_id", "left")
+        .join(distinct(published), "rubric_version_id", "left")
         .join(member, ["group_id", "submitted_by_user_id"], "left")
         .join(groups, ["group_id", "project_id"], "left")
     )
