@@ -22,9 +22,13 @@ def _nodes(spark, d):
     return materialize(G.normalize_nodes(I.raw_nodes(spark, d), I.raw_edges(spark, d)))
 
 
-def _edges(spark, d, nodes):
-    """Normalised edges as a table, before deduplication."""
-    return materialize(G.normalize_edges(G.resolve_edges(I.raw_edges(spark, d), nodes)[0]))
+def _edges(spark, d, nodes, *unread):
+    """Normalised edges as a table, before deduplication, without columns that go ``unread``."""
+    return materialize(G.normalize_edges(G.resolve_edges(I.raw_edges(spark, d), nodes)[0]).drop(*unread))
+
+
+#: What an edge's id is made of: neither deduplication nor counts read it again.
+ENDS = ("source", "target", "relation")
 
 
 def _score(column="confidence"):
@@ -159,7 +163,7 @@ def dedupe_edges(spark, d):
     SELECT graph_id::VARCHAR AS unit_id, 'parser_error' AS code,
            'conflicting edge evidence' AS message, edge AS offender FROM conflicted""")
 def dedupe_edge_rejects(spark, d):
-    return G.dedupe_edges(_edges(spark, d, _nodes(spark, d)))[1]
+    return G.dedupe_edges(_edges(spark, d, _nodes(spark, d), *ENDS))[1]
 
 
 ELEMENTS = """
@@ -221,7 +225,7 @@ def audit_graph_elements(spark, d):
     GROUP BY graph_id""")
 def graph_counts(spark, d):
     nodes = _nodes(spark, d)
-    return G.graph_counts(nodes, G.dedupe_edges(_edges(spark, d, nodes))[0])
+    return G.graph_counts(nodes, G.dedupe_edges(_edges(spark, d, nodes, *ENDS))[0])
 
 
 @register("""
@@ -231,7 +235,7 @@ def graph_counts(spark, d):
     GROUP BY graph_id, provenance""")
 def provenance_summary(spark, d):
     nodes = _nodes(spark, d)
-    summary = G.provenance_summary(nodes, G.dedupe_edges(_edges(spark, d, nodes))[0])
+    summary = G.provenance_summary(nodes, G.dedupe_edges(_edges(spark, d, nodes, *ENDS))[0])
     return summary.select("graph_id", F.explode("provenance_summary").alias("provenance", "n"))
 
 
