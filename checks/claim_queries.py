@@ -243,9 +243,7 @@ def claims_per_submission(spark, d):
           OR (artifact_id * 3 + i) % 153 = 0 OR (artifact_id * 3 + i) % 154 = 0)""")
 def build_claim_tables(spark, d):
     blocks = I.parsed_blocks(spark, d)
-    batched = materialize(
-        C.batch_section_text(C.group_section_text(C.claim_candidates(blocks)), LIMIT)[0]
-    )
-    responses = I.claim_responses(I.claim_rows(batched, True), True)
-    built = plan.build_claim_tables(blocks, responses, I.MODEL, LIMIT)
+    prepared = plan.prepare_claim_batches(blocks, LIMIT)
+    responses = I.claim_responses(I.claim_rows(prepared.batched, True), True)
+    built = plan.build_claim_tables(blocks, responses, I.MODEL, LIMIT, prepared)
     return built.claims.select("artifact_id", "external_id", "claim_type", "source_block_id")
