@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import ids, text
 from quire.operators.scan import position_in_unit
 from quire.rejects import Code, first_failure, reject_rows
 
@@ -240,9 +240,11 @@ def owned_artifacts(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFram
 
 
 def list_artifacts(artifacts: DataFrame, segments: int | None = None) -> DataFrame:
-    """``position`` of each artifact in its submission: kind, then newest version first."""
-    order = [F.col("kind"), F.col("version_no").desc(), F.col("sha256").desc()]
-    return position_in_unit(artifacts, ["submission_id"], order, segments=segments)
+    """``position`` of each artifact in its submission: kind, then newest version first. Hashes travel packed."""
+    sha256 = ids.unpacked(F.col("sha256"))
+    order = [F.col("kind"), F.col("version_no").desc(), sha256.desc()]
+    slim = artifacts.withColumn("sha256", ids.packed(F.col("sha256")))
+    return position_in_unit(slim, ["submission_id"], order, segments=segments).withColumn("sha256", sha256)
 
 
 def audit_lineage(outputs: DataFrame, artifacts: DataFrame) -> DataFrame:
